@@ -28,8 +28,8 @@ from .storage import bounded_arrow, saved
 SHINGLE, PERCENT = 5, 75
 #: A pair of similarity 0.75 shares no band key with probability (1 - 0.75**5)**40 < 2e-5.
 BANDS, ROWS = 40, 5
-N_HASHES = BANDS * ROWS
-SKETCH_BITS = 512
+#: All samples go into the sketch, the first BANDS * ROWS into the keys.
+N_HASHES, SKETCH_BITS = 512, 2048
 #: Rounds with hubs go on while the pairs left may be over this many for each class row with a shared key, and this often at most.
 PAIRS_PER_ROW, HUB_ROUNDS = 1, 1
 SIGNATURE = "d1 long, d2 long, n_shingles long, bands array<long>, sketch array<long>"
@@ -37,7 +37,7 @@ SIGNATURE = "d1 long, d2 long, n_shingles long, bands array<long>, sketch array<
 _r = np.random.default_rng(20240229)
 MUL = (_r.integers(0, 1 << 31, N_HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
 ADD = _r.integers(0, 1 << 32, N_HASHES, dtype=np.uint32)
-BLOCK = 1024
+BLOCK = 512
 
 
 def minhash(values: np.ndarray) -> np.ndarray:
@@ -59,11 +59,13 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
 
 
 def most_odd_bits(percent: int = PERCENT) -> int:
-    """XOR bits that a pair of the threshold's similarity surely doesn't exceed (4.5 standard deviations of the samples and 2.5 of the bits, so with a probability under 1e-6)."""
-    p = 1 - percent / 100
-    apart = N_HASHES * p + 4.5 * math.sqrt(N_HASHES * p * (1 - p))
-    bits = SKETCH_BITS / 2 * (1 - math.exp(-4 * apart / SKETCH_BITS))
-    return math.ceil(bits + 2.5 * math.sqrt(SKETCH_BITS) / 2)
+    """XOR bits that a pair of the threshold's similarity exceeds with a probability under 1e-5: 4.5 standard deviations over the mean."""
+    p, n = 1 - percent / 100, SKETCH_BITS
+    apart = N_HASHES * p
+    mean = n / 2 * (1 - math.exp(-4 * apart / n))
+    samples = N_HASHES * p * (1 - p) * (2 * math.exp(-4 * apart / n)) ** 2
+    folding = n / 4 * (1 - math.exp(-8 * apart / n)) - 4 * apart * math.exp(-8 * apart / n) / 2
+    return math.ceil(mean + 4.5 * math.sqrt(samples + max(folding, 0)))
 
 
 def similarity_from_bits(bits: Column) -> Column:
@@ -101,7 +103,7 @@ def _signer(shingle: int):
                 d1, d2 = _digest(values, bounds)
                 keys = np.zeros((n, BANDS), dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
                 for j in range(ROWS):
-                    keys = vec.mixed(keys ^ samples[:, j::ROWS].astype(np.uint64))
+                    keys = vec.mixed(keys ^ samples[:, j : BANDS * ROWS : ROWS].astype(np.uint64))
                 none = pa.array(size == 0)
                 null = lambda a, t: pa.compute.if_else(none, pa.scalar(None, t), a)  # noqa: B023, E731
                 longs = pa.list_(pa.int64())

@@ -139,13 +139,17 @@ def _bits_apart(a: str, b: str) -> Column:
     return sum(F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH_BITS // 64))
 
 
-def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of (a, b), those whose sets reach the threshold."""
+def _sketched(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Of (a, b), those that sizes and odd sketches leave possible, with the sizes na and nb."""
     s = lambda k: sketches.select(F.col("nid").alias(k), F.col("sketch").alias(f"s{k}"), F.col("n_shingles").alias(f"n{k}"))
-    close = pairs.join(s("a"), "a").join(s("b"), "b").where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_bits_apart("sa", "sb") <= most_odd_bits(percent)))
+    close = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_bits_apart("sa", "sb") <= most_odd_bits(percent))
+    return pairs.join(s("a"), "a").join(s("b"), "b").where(close).select("a", "b", "na", "nb")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of (a, b, na, nb), those whose sets reach the threshold."""
     t = lambda k: sets.select(F.col("nid").alias(k), F.col("shingles").alias(f"t{k}"))
-    both = close.select("a", "b", "na", "nb").join(t("a"), "a").join(t("b"), "b")
-    both = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("common"))
+    both = pairs.join(t("a"), "a").join(t("b"), "b").select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("common"))
     return both.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
@@ -218,11 +222,13 @@ def _linked(docs: DataFrame, classes: DataFrame, shared: DataFrame, shingle: int
             pairs = few.join(many, (F.col("f.key") == F.col("m.key")) & enough)
         else:
             pairs = minor.where("label <> hub_label").select(F.col("nid").alias("x"), F.col("hub").alias("y"))
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        first = F.col("x") < F.col("y")
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), *((F.when(first, F.col(p)).otherwise(F.col(q)).alias(c) for p, q, c in (("nx", "ny", "na"), ("ny", "nx", "nb"))) if last else ())).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = saved(pairs)
-        good = saved(_confirmed(pairs, sketches, sets, percent))
+        good = saved(_confirmed(pairs if last else _sketched(pairs, sketches, percent), sets, percent))
+        pairs = pairs.select("a", "b")
         tried = pairs if tried is None else tried.union(pairs)
         found = good if found is None else found.union(good)
         grown = components(found)

@@ -23,12 +23,19 @@ def query(name: str, oracle: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    load()
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+
+
+def load() -> None:
+    """Imports the plan modules, which register their queries."""
+    from .plans import relational  # noqa: F401

@@ -6,7 +6,7 @@
 3. Classes that share a band key are candidates. A shared key with many classes isn't expanded into pairs: its classes are
    compared with one of them, its hub: in the first round the class that meets most others, later another member of the
    key's largest component for each key and round. What is joined already isn't compared again. Whatever hubs decide, the
-   last round compares every remaining pair that shares a key, so no link among the candidates is lost; it leaves out only
+   last round compares every remaining pair that shares a key, once, at the first key that it shares, so no link among the candidates is lost; it leaves out only
    pairs that can't reach the threshold because too many shingles of one of them stand in no other class.
 4. A pair is dropped if the odd sketches say that its similarity is surely under the threshold, else its sets are intersected.
 """
@@ -158,7 +158,7 @@ def _common_bound(minor: DataFrame, sets: DataFrame, sketches: DataFrame) -> Dat
     each = sets.join(minor.select("nid").distinct(), "nid", "left_semi").select("nid", F.explode("shingles").alias("g"))
     twice = each.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
     common = each.join(twice.select("g"), "g").groupBy("nid").agg(F.count("*").alias("common"))
-    return saved(sketches.select("nid", F.col("n_shingles").alias("size"), "sketch").join(common, "nid"))
+    return saved(sketches.select("nid", F.col("n_shingles").alias("size"), "sketch", "bands").join(common, "nid"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -199,7 +199,7 @@ def _linked(docs: DataFrame, classes: DataFrame, shared: DataFrame, shingle: int
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
     sets = wanted.join(texts, wanted["doc_id"].eqNullSafe(texts["doc_id"])).select("text", "nid", "d1", "d2")
     sets = saved(sets.mapInArrow(_set_rows(shingle), "nid long, shingles array<long>").dropDuplicates(["nid"]))
-    sketches = classes.select("nid", "sketch", "n_shingles").join(degree.select("nid"), "nid", "left_semi")
+    sketches = classes.select("nid", "sketch", "n_shingles", "bands").join(degree.select("nid"), "nid", "left_semi")
     rows = saved(shared.select("key", "nid").join(degree, "nid"))
     labels = rows.select(F.col("nid").alias("node")).distinct().withColumn("label", F.col("node"))
     tried = found = None
@@ -215,11 +215,12 @@ def _linked(docs: DataFrame, classes: DataFrame, shared: DataFrame, shingle: int
         last = k == HUB_ROUNDS or left <= PAIRS_PER_ROW * n_rows
         if last:
             able = _common_bound(minor, sets, sketches)
-            side = lambda k: minor.join(able, "nid").select("key", "main", F.col("nid").alias(k), F.col("label").alias(f"l{k}"), F.col("size").alias(f"n{k}"), F.col("common").alias(f"c{k}"), F.col("sketch").alias(f"s{k}"))  # noqa: B023, E731
-            few = side("x").where("lx <> main").drop("main")
+            side = lambda k: minor.join(able, "nid").select("key", "main", F.col("nid").alias(k), F.col("label").alias(f"l{k}"), F.col("size").alias(f"n{k}"), F.col("common").alias(f"c{k}"), F.col("sketch").alias(f"s{k}"), F.col("bands").alias(f"b{k}"))  # noqa: B023, E731
+            few = side("x").where("lx <> main")
             enough = (F.col("lx") != F.col("ly")) & ((100 + percent) * F.least("cx", "cy") >= percent * (F.col("nx") + F.col("ny"))) & (_bits_apart("sx", "sy") <= most_odd_bits(percent))
+            once = ((F.col("ly") == F.col("f.main")) | (F.col("x") < F.col("y"))) & (F.get(F.array_intersect("bx", "by"), 0) == F.col("f.key"))
             few, many = few.alias("f"), side("y").drop("main").alias("m")
-            pairs = few.join(many, (F.col("f.key") == F.col("m.key")) & enough)
+            pairs = few.join(many, (F.col("f.key") == F.col("m.key")) & enough & once)
         else:
             pairs = minor.where("label <> hub_label").select(F.col("nid").alias("x"), F.col("hub").alias("y"))
         first = F.col("x") < F.col("y")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licenses, lines, mixing, neardup, puquality, rules, shards, sql, toxic
+from . import chains, decontam, licenses, lines, mixing, neardup, puquality, rules, shards, sql, toxic
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op5_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic.toxicity(documents(spark, sf_dir), _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_collinear_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains.repeated_passages(documents(spark, sf_dir))
+
+
 def op7_line_first_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(documents(spark, sf_dir)).drop("clean_text")
 

@@ -19,7 +19,8 @@ BANDS = {"benign": (0, 25), "suspicious": (26, 50), "phishing": (51, 75), "malwa
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """x within the bounds; null stays null."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def weighted_average(channels: dict[str, Column], weights: dict[str, float] = WEIGHTS) -> Column:

@@ -38,4 +38,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load() -> None:
     """Imports the plan modules, which register their queries."""
-    from .plans import relational  # noqa: F401
+    from .plans import relational, scalars, scoring  # noqa: F401

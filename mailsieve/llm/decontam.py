@@ -3,8 +3,9 @@
 1. Document frequencies of the benchmark's words are counted over all documents.
 2. TF-IDF passages (all benchmark passages and the windows of a sample of documents) span a latent space, found by a
    distributed randomised SVD: partial products of the passages with a small basis are summed, made orthogonal, and again.
-3. Every window of every document is compared with the benchmark passages of its length by cosine in that space. A window
-   whose share of TF-IDF energy within the benchmark's words is too low for the threshold isn't projected at all.
+3. Every window of every document is compared with the benchmark passages of its length by cosine in that space. Windows that
+   can't hold a leak aren't projected: a leak has PARAPHRASE of an item's words, so of its rarest words (the share that may
+   be missing and NEED more) at least NEED must stand near each other.
 4. A candidate is a leak if the longest common subsequence of the item and the place covers nearly all of the item, or a
    smaller part of it together with the item's answer (its last sentence): a paraphrase.
 
@@ -32,6 +33,8 @@ RANK, OVERSAMPLE, ITERATIONS = 256, 16, 3
 #: Documents whose windows help to fit the latent space; all documents are counted and searched.
 SAMPLE_DOCS = 1000
 MIN_COSINE = 0.4
+#: Of an item's rarest words, so many must stand near each other for the item to be looked for there.
+NEED = 6
 #: Share of the item's words in the common subsequence: alone, or with at least half of its answer.
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.6, 0.5
 
@@ -50,6 +53,8 @@ class Model(NamedTuple):
     passages: dict[int, tuple[np.ndarray, np.ndarray]]  # length -> unit latent vectors, item index
     items: list[Item]
     cosine: float
+    rare: tuple[np.ndarray, np.ndarray]  # for each word, items that it is a rare word of: bounds and items
+    need: np.ndarray  # rare words that a leak of each item surely has
 
 
 def hashed(texts: list[str]) -> list[np.ndarray]:
@@ -189,7 +194,36 @@ def _fit(docs: DataFrame, items: list[Item], rank: int, sample_docs: int, cosine
     vectors = np.array([(idf[at, None] * basis[at]).sum(0) for at, _ in mine], dtype=np.float32).reshape(len(mine), basis.shape[1])
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     passages = {s: (vectors[[k for k, x in enumerate(length) if x == s]], np.array([of[k] for k, x in enumerate(length) if x == s], dtype=np.int64)) for s in LENGTHS}
-    return Model(vocab, idf, other, basis, passages, items, cosine)
+    pairs, need = [], []
+    for i, x in enumerate(items):
+        at = np.searchsorted(vocab, x.words)
+        may_miss = int((1 - PARAPHRASE) * len(at) + 1e-9)
+        pick = at[np.argsort(counts[at], kind="stable")][: may_miss + NEED]
+        need.append(len(pick) - may_miss)
+        pairs += [(w, i) for w in sorted(set(pick.tolist()))]
+    pairs = np.array(sorted(pairs), dtype=np.int64).reshape(-1, 2)
+    rare = np.searchsorted(pairs[:, 0], np.arange(len(vocab) + 1)), pairs[:, 1]
+    return Model(vocab, idf, other, basis, passages, items, cosine, rare, np.maximum(need, 1))
+
+
+def _near_rare_words(m: Model, at: np.ndarray, w: vec.Words, begin: np.ndarray) -> np.ndarray:
+    """Whether each block may begin a window near enough rare words of some item."""
+    mark = np.zeros(len(begin) + 1, dtype=np.int64)
+    pos = np.flatnonzero(at >= 0)
+    bounds, items = m.rare
+    first, n = bounds[at[pos]], bounds[at[pos] + 1] - bounds[at[pos]]
+    pos, first = np.repeat(pos, n), np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    item = items[first]
+    order = np.argsort((w.doc[pos] * len(m.items) + item) * np.int64(len(w.hash) + 1) + pos, kind="stable")
+    pos, item = pos[order], item[order]
+    last = np.arange(len(pos)) + m.need[item] - 1
+    use = np.flatnonzero(last < len(pos))
+    last = last[use]
+    reach = 2 * np.array([len(x.words) for x in m.items]) + 2 * STRIDE
+    near = (item[use] == item[last]) & (w.doc[pos[use]] == w.doc[pos[last]]) & (pos[last] - pos[use] <= reach[item[use]])
+    np.add.at(mark, np.searchsorted(begin, pos[use][near] - LENGTHS[-1]), 1)
+    np.add.at(mark, np.searchsorted(begin, pos[last][near] + 1), -1)
+    return np.cumsum(mark[:-1]) > 0
 
 
 def found(m: Model, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, float, float, float, int]]:
@@ -205,13 +239,14 @@ def found(m: Model, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, f
     inside = np.add.reduceat(np.where(known, weight**2, 0.0), begin)
     sums = [np.concatenate([[0.0], np.cumsum(x)]) for x in (energy, inside)]
     last = np.searchsorted(doc, doc, side="right")  # end of each block's row
-    tried: dict[tuple[int, int], tuple[float, int]] = {}
+    near = _near_rare_words(m, at, w, begin)
+    tried: dict[tuple[int, int], list[tuple[float, int]]] = {}
     for size, (vectors, of) in m.passages.items():
         if not len(of):
             continue
         to = np.minimum(np.arange(len(begin)) + size // STRIDE, last)
         whole, part = (s[to] - s[:-1] for s in sums)
-        pick = np.flatnonzero(part >= m.cosine**2 * whole)
+        pick = np.flatnonzero(near & (part >= m.cosine**2 * whole))
         for chunk in np.array_split(pick, len(pick) // 4096 + 1):
             if not len(chunk):
                 continue
@@ -232,9 +267,7 @@ def found(m: Model, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, f
                 total += np.where(here[:, None], z[np.where(here, np.minimum(slot + k, len(need) - 1), len(need))], 0)
             cos = total @ vectors.T / np.sqrt(np.maximum(whole[chunk], 1e-9))[:, None]
             for i, j in zip(*np.nonzero(cos >= m.cosine), strict=True):
-                key, value = (int(doc[chunk[i]]), int(of[j])), (float(cos[i, j]), int(begin[chunk[i]]))
-                near = tried.setdefault(key, [])
-                near.append(value)
+                tried.setdefault((int(doc[chunk[i]]), int(of[j])), []).append((float(cos[i, j]), int(begin[chunk[i]])))
     out = []
     for (row, i), places in sorted(tried.items()):
         x, best = m.items[i], None

@@ -237,3 +237,15 @@ def _linked(docs: DataFrame, classes: DataFrame, shared: DataFrame, shingle: int
         if last:
             break
     return labels
+
+
+def representatives(docs: DataFrame, **how: int) -> DataFrame:
+    """One row of docs for each group, the one of smallest doc_id, all columns as they were.
+
+    Of rows that repeat a doc_id with the same text one stays; rows without a doc_id stay if no other id is in their group,
+    once for each text.
+    """
+    kept = saved(near_duplicates(docs, **how).where("kept").select(F.col("doc_id").alias("kept id")))
+    ids = kept.distinct()
+    out = docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(F.col("kept id")), "left_semi")
+    return out if kept.count() == ids.count() else out.dropDuplicates(["doc_id", "text"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df computed once and written to the shared checkpoint folder, so lost executors cost no recomputation of its lineage."""
+    """df computed once and written to the shared checkpoint folder, so lost executors cost no recomputation of its lineage.
+
+    Garbage is collected first, which lets Spark's cleaner drop shuffle files of steps that are done.
+    """
     checkpoint_dir(df.sparkSession)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.checkpoint(eager=True)
 
 

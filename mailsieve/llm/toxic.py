@@ -192,7 +192,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> DataF
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("y")).where("y IN (0, 1) AND doc_id IS NOT NULL")
     part = fold(F.col("doc_id"))
-    some = text.where(part.isin(1, 2, 3) & F.col("text").isNotNull()).join(known.where(part.isin(1, 2, 3)), "doc_id").select("text", "y")
+    some = text.where(part.isin(1, 2, 3) & F.col("text").isNotNull()).join(known.where(part.isin(1, 2, 3)).hint("shuffle_hash"), "doc_id").select("text", "y")
     blobs = some.mapInArrow(_count, "kind int, chunk int, blob binary").repartition(64, "kind", "chunk").mapInArrow(_merge, "kind int, chunk int, blob binary").collect()
     counts, bits = np.zeros((2, CONTEXTS * 32), dtype=np.int64), np.zeros(1 << 22, dtype=np.uint8)
     for r in blobs:

@@ -31,7 +31,7 @@ BLOCK = 1000
 STRIDE, LENGTHS = 8, (16, 32, 64)
 RANK, OVERSAMPLE, ITERATIONS = 256, 16, 3
 #: Documents whose windows help to fit the latent space; all documents are counted and searched.
-SAMPLE_DOCS = 1000
+SAMPLE_DOCS, SAMPLE_PARTS = 1000, 4
 MIN_COSINE = 0.4
 #: Of an item's rarest words, so many must stand near each other for the item to be looked for there.
 NEED = 6
@@ -150,7 +150,7 @@ def _summer(shared):
         out = np.zeros_like(q)
         for batch in batches:
             out += _products([(np.array(a, dtype=np.int64), n) for a, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], idf, other, q)
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["y"])
+        yield pa.RecordBatch.from_arrays([pa.array([out.astype(np.float32).tobytes()], pa.binary())], names=["y"])
 
     return run
 
@@ -177,14 +177,15 @@ def _fit(docs: DataFrame, items: list[Item], rank: int, sample_docs: int, cosine
             length.append(size)
             of.append(i)
     some = text.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample_docs / max(n, 1))))
-    parts = 8
-    sample = saved(some.repartition(parts).mapInArrow(_sampler(shared), "at array<long>, n long"))
+    sample = saved(some.repartition(SAMPLE_PARTS).mapInArrow(_sampler(shared), "at array<long>, n long"))
     r = min(rank + OVERSAMPLE, len(vocab))
     q = np.linalg.qr(np.random.default_rng(5).standard_normal((len(vocab), r)))[0]
     for _ in range(ITERATIONS):
         now = sc.broadcast((idf, other, q))
-        ys = [np.frombuffer(x.y).reshape(q.shape) for x in sample.mapInArrow(_summer(now), "y binary").collect()]
-        corpus, own = sum(ys, np.zeros_like(q)), _products(mine, idf, other, q)
+        corpus = np.zeros_like(q)
+        for x in sample.mapInArrow(_summer(now), "y binary").collect():
+            corpus += np.frombuffer(x.y, dtype=np.float32).reshape(q.shape)
+        own = _products(mine, idf, other, q)
         # both kinds of passages weigh the same in all
         y = own / max(len(mine), 1) + corpus / max(np.abs(corpus).sum(), 1e-12) * np.abs(own).sum() / max(len(mine), 1)
         now.unpersist()

@@ -1,12 +1,13 @@
 """Near-duplicate lines by a deletion-neighbourhood join, in DataFrame functions only.
 
 A line is its sequence of words. Lines of MIN_WORDS words or more that differ by one word (put in, left out or changed) are
-links; shorter lines are linked only if equal. Every line emits the keys of itself and of all its variants with one word
-left out. Lines that share the key of a variant with the same gap differ in the word at the gap at most; a line that has the
-key of another's variant is that line less a word. So each key's lines need comparing with its earliest only, and counts of
-lines by key give the number of links: no pairs within a group are made, however large it is.
+links; shorter lines are linked only if equal. Lines emit the hashed keys of their variants with one word left out, and of
+themselves. Lines that share the key of a variant with the same gap differ in the word at the gap at most; a line that has
+the key of another's variant is that line less a word. So each key's lines need comparing with its earliest only, and counts
+of lines by key give the number of links: no pairs within a group are made, however large it is.
 
-Only lines that share the first or the last half of their words with another line can have a link, so only these emit variants.
+Two lines one word apart share their first or their last words up to about the middle. So only lines that share such a half
+with another line emit variants, and only with gaps in the other half.
 """
 
 from __future__ import annotations
@@ -18,24 +19,39 @@ from pyspark.sql.window import Window
 from .storage import saved
 
 MIN_WORDS = 8
-SPACE = r"[\x20\x09-\x0D]+"
 ID = ["h1", "h2"]
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line, h1, h2) for the lines that have a word; line is its words with one blank between."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "raw"))
-    line = F.trim(F.regexp_replace("raw", SPACE, " "))
+    odd = F.contains("raw", F.lit("  ")) | F.col("raw").rlike(r"[\x09-\x0D]")
+    line = F.trim(F.when(odd, F.regexp_replace("raw", r"[\x20\x09-\x0D]+", " ")).otherwise(F.col("raw")))
     rows = rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), line.alias("line")).where("line <> ''")
     return rows.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def _half_keys(n: Column) -> Column:
-    """Keys of the first and last k words for the two k that a partner may have."""
-    ks = [F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")]
-    first = [F.xxhash64(F.lit("first"), k, F.slice("ws", 1, k)) for k in ks]
-    last = [F.xxhash64(F.lit("last"), k, F.slice("ws", n - k + 1, k)) for k in ks]
-    return F.array_distinct(F.array(*first, *last))
+def _half_keys(line: Column, n: Column) -> Column:
+    """struct(key, kind) for the first and the last k words, k being about half of n.
+
+    k is 2 * floor(n / 4), the same for a line and one a word longer but where n is a multiple of 4; such a line has keys for both.
+    """
+    out = []
+    for m in (n, n - 1):
+        k = (2 * F.floor(m / 4)).cast("int")
+        use = (m == n) | (n % 4 == 0)
+        first = F.xxhash64(F.lit("first"), k, _head(line, k))
+        last = F.xxhash64(F.lit("last"), k, _tail(line, k))
+        out += [F.when(use, F.struct(first.alias("key"), F.lit(0).alias("kind"), k.alias("k"))), F.when(use, F.struct(last.alias("key"), F.lit(1).alias("kind"), k.alias("k")))]
+    return F.filter(F.array(*out), lambda x: x.isNotNull())
+
+
+def _head(line: Column, k: Column) -> Column:
+    return F.call_function("substring_index", line, F.lit(" "), k)
+
+
+def _tail(line: Column, k: Column) -> Column:
+    return F.call_function("substring_index", line, F.lit(" "), -k)
 
 
 def near_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -46,57 +62,63 @@ def near_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     A null doc_id comes before all others. Repeated rows are equal lines; of equal ones at the same place each is
     kept or dropped alike. An empty table gives no rows.
     """
-    lines = line_rows(docs)
+    n = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
     place = F.struct(F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
-    distinct = lines.groupBy(*ID).agg(F.min(place).alias("at"), F.first("line").alias("line")).select(*ID, "at", F.split("line", " ").alias("ws"))
-    long = distinct.where(F.size("ws") >= min_words)
-    halves = long.select(*ID, F.explode(_half_keys(F.size("ws"))).alias("half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1")
-    able = halves.join(shared.select("half"), "half", "left_semi").select(*ID).distinct()
-    able = saved(long.join(able, ID, "left_semi"))
-    words = able.select(*ID, "at", F.size("ws").alias("n"), F.posexplode("ws").alias("p", "w"))
-    words = words.select(*ID, "at", "n", "p", F.xxhash64("w", "p").alias("stay"), F.xxhash64("w", F.col("p") - 1).alias("move"))
-    whole = Window.partitionBy(*ID)
+    none = F.array().cast("array<struct<key:bigint,kind:int,k:int>>")
+    lines = line_rows(docs).select(place.alias("at"), *ID, F.when(n >= min_words, _half_keys(F.col("line"), n)).otherwise(none).alias("halves"))
+    distinct = saved(lines.groupBy(*ID).agg(F.min("at").alias("at"), F.first("halves").alias("halves")).withColumn("id", F.monotonically_increasing_id()))
+    halves = distinct.select("id", F.explode("halves").alias("x")).select("id", "x.*")
+    shared = halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # from where on, and up to where, the words may differ
+    able = halves.join(shared, "key").groupBy("id").agg(F.min(F.when(F.col("kind") == 0, F.col("k"))).alias("after"), F.min(F.when(F.col("kind") == 1, F.col("k"))).alias("before"))
+    able = distinct.select("id", "at", *ID).join(able, "id")
+    wanted = able.groupBy(F.col("at.d").alias("doc")).agg(F.collect_list(F.struct("id", "at", "after", "before", *ID)).alias("wanted"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("doc"))).select(F.split("text", "\n").alias("raw"), F.explode("wanted").alias("x"))
+    words = F.filter(F.split(F.get("raw", F.col("x.at.l").cast("int")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    found = found.select("x.*", words.alias("ws"))
+    line = F.array_join("ws", " ")
+    able = saved(found.where((F.xxhash64(line) == F.col("h1")) & (F.xxhash64(F.lit(1), line) == F.col("h2"))).select("id", "at", "after", "before", "ws").dropDuplicates(["id"]))
+    words = able.select("id", F.size("ws").alias("n"), "after", "before", F.posexplode("ws").alias("p", "w"))
+    words = words.select("id", "n", "after", "before", "p", F.xxhash64("w", "p").alias("stay"), F.xxhash64("w", F.col("p") - 1).alias("move"))
+    whole = Window.partitionBy("id")
     upto = whole.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
-    xor = F.expr("bit_xor(stay)").over(upto), F.expr("bit_xor(move)").over(upto), F.expr("bit_xor(move)").over(whole)
-    words = words.select("*", *(x.alias(c) for x, c in zip(xor, ("before", "moved", "all"), strict=True)))
-    left = F.col("before").bitwiseXOR(F.col("stay")).bitwiseXOR(F.col("all")).bitwiseXOR(F.col("moved"))
-    variants = words.select(*ID, "at", (F.col("n") - 1).alias("m"), "p", left.alias("key"))
-    itself = words.groupBy(*ID).agg(F.expr("bit_xor(stay)").alias("key"), F.first("at").alias("at"), F.first("n").alias("m")).select(*ID, "at", "m", F.lit(-1).alias("p"), "key")
-    # changed words: same variant, same gap
-    gaps = variants.groupBy("key", "m", "p").agg(F.min("at").alias("earliest"), F.count("*").alias("c")).where("c > 1")
-    changed = variants.join(gaps, ["key", "m", "p"]).select(*ID, "earliest", (F.col("c") - 1).alias("links"))
-    # words left out: the shorter line's own key is a variant of the longer; a run of one word repeated gives one variant
-    less = variants.dropDuplicates([*ID, "key", "m"]).select(*ID, "at", "m", "key")
-    longer = less.groupBy("key", "m").agg(F.min("at").alias("earliest"), F.count("*").alias("links"))
-    shorter = itself.join(longer, ["key", "m"]).select(*ID, "earliest", "links")
-    own = itself.select("key", "m", F.col("at").alias("earliest"), F.lit(1).cast("long").alias("links"))
-    links = changed.union(shorter).union(less.join(own, ["key", "m"]).select(*ID, "earliest", "links"))
-    links = _confirmed(links, able)
-    best = links.groupBy(*ID).agg(F.min("earliest").alias("near"), F.sum("links").alias("n_links"))
-    best = distinct.select(*ID, "at").join(best, ID, "left").select(*ID, "at", F.least("at", F.coalesce("near", "at")).alias("keeper"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = lines.select("doc_id", "line_no", *ID).join(best, ID)
-    return out.select("doc_id", "line_no", place.eqNullSafe(F.col("keeper")).alias("kept"), F.col("keeper.d").alias("keeper_doc_id"), F.col("keeper.l").alias("keeper_line"), F.col("n_links").cast("long").alias("n_links"))
+    words = words.select("id", "n", "after", "before", "p", "stay", *(F.expr(f"bit_xor({c})").over(w).alias(a) for c, w, a in (("stay", upto, "kept"), ("move", upto, "moved"), ("move", whole, "all"))))
+    key = F.col("kept").bitwiseXOR(F.col("stay")).bitwiseXOR(F.col("all")).bitwiseXOR(F.col("moved"))
+    gap = (F.col("p") >= F.col("after")) | (F.col("p") < F.col("n") - F.col("before"))
+    # rows of one kind for all keys: of a variant with its gap (same), of a variant (less), of the line itself (own)
+    variants = words.select("id", F.explode(F.concat(
+        F.when(gap, F.array(F.struct(F.xxhash64(F.lit("same"), "n", "p", key).alias("key"), F.lit(0).alias("kind")), F.struct(F.xxhash64(F.lit("one"), F.col("n") - 1, key).alias("key"), F.lit(1).alias("kind")))).otherwise(F.array().cast("array<struct<key:bigint,kind:int>>")),
+        F.when(F.col("p") == F.col("n") - 1, F.array(F.struct(F.xxhash64(F.lit("one"), "n", "kept").alias("key"), F.lit(2).alias("kind")))).otherwise(F.array().cast("array<struct<key:bigint,kind:int>>")),
+    )).alias("x")).select("id", "x.key", "x.kind")
+    groups = variants.groupBy("key").agg(F.count_if(F.col("kind") == 0).alias("same"), F.count_if(F.col("kind") == 1).alias("longer"), F.count_if(F.col("kind") == 2).alias("own"))
+    groups = groups.where("same > 1 OR (longer > 0 AND own > 0)")
+    hits = saved(variants.join(groups, "key").select("id", "key", "kind").distinct().join(able.select("id", "at"), "id"))
+    best = hits.groupBy("key").agg(F.min("at").alias("any"), F.min(F.when(F.col("kind") == 2, F.col("at"))).alias("short"), *(F.count_if(F.col("kind") == k).alias(f"n{k}") for k in range(3)))
+    links = hits.join(best, "key").select(
+        "id", "at", F.when(F.col("kind") == 1, F.col("short")).otherwise(F.col("any")).alias("near"), F.when(F.col("kind") == 0, F.col("n0") - 1).when(F.col("kind") == 1, F.col("n2")).otherwise(F.col("n1")).alias("links")
+    ).where("links > 0")
+    best = _confirmed(links, able).groupBy("id").agg(F.min("near").alias("near"), F.sum("links").alias("n_links"))
+    best = distinct.select("id", *ID, "at").join(best, "id", "left").select(*ID, F.least("at", F.coalesce("near", "at")).alias("keeper"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = lines.select("at", *ID).join(best, ID)
+    return out.select(F.col("at.d").alias("doc_id"), F.col("at.l").alias("line_no"), F.col("at").eqNullSafe(F.col("keeper")).alias("kept"), F.col("keeper.d").alias("keeper_doc_id"), F.col("keeper.l").alias("keeper_line"), F.col("n_links").cast("long").alias("n_links"))
 
 
 def within_one(a: Column, b: Column) -> Column:
     """Whether the word arrays a and b are one word apart at most: what is left between their common start and common end is one word."""
     n, m = F.size(a), F.size(b)
     short = F.least(n, m)
-    start = F.coalesce(F.array_position(F.transform(F.sequence(F.lit(1), short), lambda i: F.get(a, i - 1) == F.get(b, i - 1)), False) - 1, F.lit(0))
-    start = F.when(start < 0, short).otherwise(start)
-    rest = lambda x, skip, size: F.slice(x, (start + 1 + skip).cast("int"), F.greatest(F.lit(0), size - start - skip).cast("int"))
+    differ = F.filter(F.sequence(F.lit(1), short), lambda i: F.get(a, i - 1) != F.get(b, i - 1))
+    start = F.coalesce(F.get(differ, 0) - 1, short)
+    rest = lambda x, skip, size: F.slice(x, start + 1 + skip, F.greatest(F.lit(0), size - start - skip))
     return F.when(n == m, rest(a, 1, n) == rest(b, 1, m)).when(n == m + 1, rest(a, 1, n) == rest(b, 0, m)).when(m == n + 1, rest(a, 0, n) == rest(b, 1, m)).otherwise(F.lit(False))
 
 
 def _confirmed(links: DataFrame, able: DataFrame) -> DataFrame:
-    """Links whose edit distance is one word at most; a line is its own earliest in some, which needs no check."""
-    mine = able.select(*ID, "at", "ws")
-    other = able.select(F.col("at").alias("earliest"), F.col("ws").alias("other"))
-    both = links.join(mine, ID)
-    alone = both.where(F.col("at") == F.col("earliest")).select(*ID, "earliest", "links")
-    near = both.where(F.col("at") != F.col("earliest")).join(other, "earliest").where(within_one(F.col("ws"), F.col("other")))
-    return alone.union(near.select(*ID, "earliest", "links"))
+    """Links whose edit distance is one word at most; where a line is itself the earliest there is nothing to check."""
+    mine, other = able.select("id", "ws"), able.select(F.col("at").alias("near"), F.col("ws").alias("other"))
+    near = links.where(F.col("at") != F.col("near")).join(mine, "id").join(other, "near").where(within_one(F.col("ws"), F.col("other")))
+    return links.where(F.col("at") == F.col("near")).select("id", "near", "links").union(near.select("id", "near", "links"))
 
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -80,8 +80,8 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, tilts: tuple = TILTS, share
 
 def mixture(docs: DataFrame, **how) -> DataFrame:
     """doc_id, size, source_size, target, taken, position (of the first pass; null if nothing is taken), passes; range-sorted by position."""
-    out = mixed(docs.select("doc_id", "source", "text"), **how).select("doc_id", "mix.*")
-    out = out.withColumn("position", F.get("positions", 0)).withColumn("passes", F.size("positions"))
+    out = mixed(docs.select("doc_id", "source", "text"), **how).select("doc_id", "mix.*").withColumn("target", F.round("target", 4))
+    out = out.withColumn("position", F.round(F.get("positions", 0), 6)).withColumn("passes", F.size("positions"))
     return out.drop("positions").orderBy("position", "doc_id")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -22,3 +25,9 @@ def views(spark: SparkSession, sf_dir: str, names: list[str] = TABLES) -> None:
     """The tables as temporary views, for SQL text."""
     for name in names:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the session's spark.checkpoint.dir, or under a temporary one where that is unset."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared")
+    return f"{top}/{name}-{uuid.uuid4().hex}"

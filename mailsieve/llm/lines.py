@@ -68,7 +68,8 @@ def near_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = line_rows(docs).select(place.alias("at"), *ID, F.when(n >= min_words, _half_keys(F.col("line"), n)).otherwise(none).alias("halves"))
     distinct = saved(lines.groupBy(*ID).agg(F.min("at").alias("at"), F.first("halves").alias("halves")).withColumn("id", F.monotonically_increasing_id()))
     halves = distinct.select("id", F.explode("halves").alias("x")).select("id", "x.*")
-    shared = halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # shared keys are written before the join, which then deals both sides anew and can split a key of very many lines
+    shared = saved(halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     # from where on, and up to where, the words may differ
     able = halves.join(shared, "key").groupBy("id").agg(F.min(F.when(F.col("kind") == 0, F.col("k"))).alias("after"), F.min(F.when(F.col("kind") == 1, F.col("k"))).alias("before"))
     able = distinct.select("id", "at", *ID).join(able, "id")
@@ -92,7 +93,7 @@ def near_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         F.when(F.col("p") == F.col("n") - 1, F.array(F.struct(F.xxhash64(F.lit("one"), "n", "kept").alias("key"), F.lit(2).alias("kind")))).otherwise(F.array().cast("array<struct<key:bigint,kind:int>>")),
     )).alias("x")).select("id", "x.key", "x.kind")
     groups = variants.groupBy("key").agg(F.count_if(F.col("kind") == 0).alias("same"), F.count_if(F.col("kind") == 1).alias("longer"), F.count_if(F.col("kind") == 2).alias("own"))
-    groups = groups.where("same > 1 OR (longer > 0 AND own > 0)")
+    groups = saved(groups.where("same > 1 OR (longer > 0 AND own > 0)"))
     hits = saved(variants.join(groups, "key").select("id", "key", "kind").distinct().join(able.select("id", "at"), "id"))
     best = hits.groupBy("key").agg(F.min("at").alias("any"), F.min(F.when(F.col("kind") == 2, F.col("at"))).alias("short"), *(F.count_if(F.col("kind") == k).alias(f"n{k}") for k in range(3)))
     links = hits.join(best, "key").select(

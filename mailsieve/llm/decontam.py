@@ -34,7 +34,7 @@ RANK, OVERSAMPLE, ITERATIONS = 256, 16, 3
 SAMPLE_DOCS, SAMPLE_PARTS = 1000, 4
 MIN_COSINE = 0.4
 #: Of an item's rarest words, so many must stand near each other for the item to be looked for there.
-NEED = 6
+NEED = 8
 #: Share of the item's words in the common subsequence: alone, or with at least half of its answer.
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.6, 0.5
 
@@ -207,9 +207,8 @@ def _fit(docs: DataFrame, items: list[Item], rank: int, sample_docs: int, cosine
     return Model(vocab, idf, other, basis, passages, items, cosine, rare, np.maximum(need, 1))
 
 
-def _near_rare_words(m: Model, at: np.ndarray, w: vec.Words, begin: np.ndarray) -> np.ndarray:
-    """Whether each block may begin a window near enough rare words of some item."""
-    mark = np.zeros(len(begin) + 1, dtype=np.int64)
+def _near_rare_words(m: Model, at: np.ndarray, w: vec.Words, begin: np.ndarray) -> dict[int, np.ndarray]:
+    """For each window length, the blocks at which a window may begin that holds enough rare words of an item of that length."""
     pos = np.flatnonzero(at >= 0)
     bounds, items = m.rare
     first, n = bounds[at[pos]], bounds[at[pos] + 1] - bounds[at[pos]]
@@ -220,11 +219,17 @@ def _near_rare_words(m: Model, at: np.ndarray, w: vec.Words, begin: np.ndarray)
     last = np.arange(len(pos)) + m.need[item] - 1
     use = np.flatnonzero(last < len(pos))
     last = last[use]
-    reach = 2 * np.array([len(x.words) for x in m.items]) + 2 * STRIDE
-    near = (item[use] == item[last]) & (w.doc[pos[use]] == w.doc[pos[last]]) & (pos[last] - pos[use] <= reach[item[use]])
-    np.add.at(mark, np.searchsorted(begin, pos[use][near] - LENGTHS[-1]), 1)
-    np.add.at(mark, np.searchsorted(begin, pos[last][near] + 1), -1)
-    return np.cumsum(mark[:-1]) > 0
+    length = np.array([len(x.words) for x in m.items])
+    near = (item[use] == item[last]) & (w.doc[pos[use]] == w.doc[pos[last]]) & (pos[last] - pos[use] <= 2 * length[item[use]] + 2 * STRIDE)
+    a, b, item = pos[use][near], pos[last][near], item[use][near]
+    out = {}
+    for size, (_, of) in m.passages.items():
+        mine = np.isin(item, of)
+        mark = np.zeros(len(begin) + 1, dtype=np.int64)
+        np.add.at(mark, np.searchsorted(begin, a[mine] - length[item[mine]] - STRIDE), 1)
+        np.add.at(mark, np.searchsorted(begin, np.where(length[item[mine]] > 1.5 * size, b[mine], a[mine]) + STRIDE + 1), -1)
+        out[size] = np.cumsum(mark[:-1]) > 0
+    return out
 
 
 def found(m: Model, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, float, float, float, int]]:
@@ -247,20 +252,18 @@ def found(m: Model, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, f
             continue
         to = np.minimum(np.arange(len(begin)) + size // STRIDE, last)
         whole, part = (s[to] - s[:-1] for s in sums)
-        pick = np.flatnonzero(near & (part >= m.cosine**2 * whole))
+        pick = np.flatnonzero(near[size] & (part >= m.cosine**2 * whole))
         for chunk in np.array_split(pick, len(pick) // 4096 + 1):
             if not len(chunk):
                 continue
             need = np.unique(np.concatenate([np.minimum(chunk + k, to[chunk] - 1) for k in range(size // STRIDE)]))
             spans = [(begin[b], begin[b + 1] if b + 1 < len(begin) else len(w.hash)) for b in need]
-            of_block = np.repeat(np.arange(len(need)), [b - a for a, b in spans])
-            word = np.concatenate([np.arange(a, b) for a, b in spans])
-            use = known[word]
             z = np.zeros((len(need) + 1, m.basis.shape[1]), dtype=np.float32)
-            rows = m.basis[at[word[use]]] * weight[word[use], None].astype(np.float32)
-            first = np.flatnonzero(np.diff(of_block[use], prepend=-1))
-            if len(first):
-                z[of_block[use][first]] = np.add.reduceat(rows, first, axis=0)
+            a, b = (np.array(x) for x in zip(*spans, strict=True))
+            for j in range(STRIDE):  # the j-th word of every block
+                rows = np.flatnonzero(a + j < b)
+                rows = rows[known[a[rows] + j]]
+                z[rows] += m.basis[at[a[rows] + j]] * weight[a[rows] + j, None].astype(np.float32)
             slot = np.searchsorted(need, chunk)
             total = np.zeros((len(chunk), z.shape[1]), dtype=np.float32)
             for k in range(size // STRIDE):

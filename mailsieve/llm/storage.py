@@ -8,6 +8,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir. Only where that is unset (tests on one machine) a temporary folder is made."""
@@ -29,7 +31,8 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def bounded_arrow(spark: SparkSession, rows: int = 512) -> None:
-    """Fewer rows in an Arrow batch, since one text may have megabytes."""
+    """Fewer rows in an Arrow batch, since one text may have megabytes; and the package for the Python workers."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 

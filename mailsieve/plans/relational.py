@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import relational as r
 from ..registry import query
+from ..session import table as frame_table
 from ..session import views
 from .projection import CTES, with_ctes
 
@@ -56,10 +57,6 @@ def p10(spark, d):
     return frame_table(spark, d, "pages").where(F.col("url").rlike(r"(?i)^https://[^/]+/.*\?")).select("page_id", "url")
 
 
-def frame_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 @on("P11_range_checks", """SELECT o_orderkey, list_sort(list_filter([CASE WHEN o_totalprice > 200000 THEN 'price' END, CASE WHEN o_orderstatus NOT IN ('O', 'F') THEN 'status' END, CASE WHEN NOT regexp_matches(o_orderpriority, '^[1-3]-') THEN 'priority' END], lambda x: x IS NOT NULL)) AS violations
     FROM orders WHERE o_totalprice > 200000 OR o_orderstatus NOT IN ('O', 'F') OR NOT regexp_matches(o_orderpriority, '^[1-3]-')""")
 def p11(spark, d):

@@ -38,4 +38,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load() -> None:
     """Imports the plan modules, which register their queries."""
-    from .plans import extra, relational, scalars, scoring, streams  # noqa: F401
+    from .plans import extra, language, relational, scalars, scoring, streams  # noqa: F401

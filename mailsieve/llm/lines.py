@@ -31,27 +31,25 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return rows.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def _half_keys(line: Column, n: Column) -> Column:
-    """struct(key, kind) for the first and the last k words, k being about half of n.
-
-    k is 2 * floor(n / 4), the same for a line and one a word longer but where n is a multiple of 4; such a line has keys for both.
-    """
-    out = []
-    for m in (n, n - 1):
-        k = (2 * F.floor(m / 4)).cast("int")
-        use = (m == n) | (n % 4 == 0)
-        first = F.xxhash64(F.lit("first"), k, _head(line, k))
-        last = F.xxhash64(F.lit("last"), k, _tail(line, k))
-        out += [F.when(use, F.struct(first.alias("key"), F.lit(0).alias("kind"), k.alias("k"))), F.when(use, F.struct(last.alias("key"), F.lit(1).alias("kind"), k.alias("k")))]
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+def _half_keys(k: str) -> list[Column]:
+    """struct(key, kind, k) for the first k and the last k words of `line`."""
+    part = lambda size: F.call_function("substring_index", F.col("line"), F.lit(" "), size)
+    both = F.xxhash64(F.lit("first"), k, part(F.col(k))), F.xxhash64(F.lit("last"), k, part(-F.col(k)))
+    return [F.struct(key.alias("key"), F.lit(kind).alias("kind"), F.col(k).alias("k")) for kind, key in enumerate(both)]
 
 
-def _head(line: Column, k: Column) -> Column:
-    return F.call_function("substring_index", line, F.lit(" "), k)
+def _with_halves(lines: DataFrame, min_words: int) -> DataFrame:
+    """lines with `halves`: keys of about half of their words, from either end.
 
-
-def _tail(line: Column, k: Column) -> Column:
-    return F.call_function("substring_index", line, F.lit(" "), -k)
+    k is 2 * floor(n / 4), the same for a line and one a word longer but where n is a multiple of 4; such a line has keys for both.
+    Word counts are columns of their own, so that no expression holds them several times.
+    """
+    n = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    none = F.array().cast("array<struct<key:bigint,kind:int,k:int>>")
+    lines = lines.select("*", n.alias("n"))
+    lines = lines.select("*", (2 * F.floor(F.col("n") / 4)).cast("int").alias("k"), (2 * F.floor((F.col("n") - 1) / 4)).cast("int").alias("k1"))
+    keys = F.when(F.col("n") < min_words, none).when(F.col("n") % 4 == 0, F.array(*_half_keys("k"), *_half_keys("k1"))).otherwise(F.array(*_half_keys("k")))
+    return lines.select("doc_id", "line_no", *ID, keys.alias("halves"))
 
 
 def near_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -62,10 +60,8 @@ def near_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     A null doc_id comes before all others. Repeated rows are equal lines; of equal ones at the same place each is
     kept or dropped alike. An empty table gives no rows.
     """
-    n = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
     place = F.struct(F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
-    none = F.array().cast("array<struct<key:bigint,kind:int,k:int>>")
-    lines = line_rows(docs).select(place.alias("at"), *ID, F.when(n >= min_words, _half_keys(F.col("line"), n)).otherwise(none).alias("halves"))
+    lines = _with_halves(line_rows(docs), min_words).select(place.alias("at"), *ID, "halves")
     distinct = saved(lines.groupBy(*ID).agg(F.min("at").alias("at"), F.first("halves").alias("halves")).withColumn("id", F.monotonically_increasing_id()))
     halves = distinct.select("id", F.explode("halves").alias("x")).select("id", "x.*")
     # shared keys are written before the join, which then deals both sides anew and can split a key of very many lines

@@ -25,7 +25,7 @@ def sweep(df: DataFrame, score: str, truth: Column) -> DataFrame:
     w = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy()
     out = per.select("threshold", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp"), F.sum("p").over(every).alias("pos"), F.sum("n").over(every).alias("neg"))
-    return out.select("threshold", "tp", "fp", "pos", "neg", (F.col("tp") / F.col("pos")).alias("tpr"), (F.col("fp") / F.col("neg")).alias("fpr"))
+    return out.select("threshold", "tp", "fp", "pos", "neg", F.try_divide("tp", "pos").alias("tpr"), F.try_divide("fp", "neg").alias("fpr"))
 
 
 def roc_auc(df: DataFrame, score: str, truth: Column) -> DataFrame:
@@ -33,7 +33,7 @@ def roc_auc(df: DataFrame, score: str, truth: Column) -> DataFrame:
     per = df.groupBy(F.col(score).alias("s")).agg(F.count_if(truth).alias("p"), F.count_if(~truth).alias("n"))
     below = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     per = per.select("p", "n", (F.col("p") * (below + F.col("n") / 2)).alias("wins"))
-    return per.agg(F.round(F.sum("wins") / (F.sum("p") * F.sum("n")), 6).alias("auc"))
+    return per.agg(F.round(F.try_divide(F.sum("wins"), F.sum("p") * F.sum("n")), 6).alias("auc"))
 
 
 def partial_auc(df: DataFrame, score: str, truth: Column, most: float = 0.05) -> DataFrame:

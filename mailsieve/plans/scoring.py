@@ -231,14 +231,14 @@ MODES = {"average": AVG, "noisy_or": NOR, "max": "CAST(COALESCE(greatest(url_sco
 on("M18_fusion_bakeoff", f"SELECT {', '.join(f'round(avg({x}), 6) AS {k}' for k, x in MODES.items())} FROM scored")(lambda spark, d: frame(spark, d, "scored").agg(F.round(F.avg(scores.weighted_average(channels())), 6).alias("average"), F.round(F.avg(scores.noisy_or(channels())), 6).alias("noisy_or"), F.round(F.avg(F.coalesce(F.greatest(*CH.values()), F.lit(0)).cast("double")), 6).alias("max")))
 sql("M19_spam_gate", "SELECT doc_id, CASE WHEN quality = 0 AND score < 76 THEN least(score, 50) ELSE score END AS gated FROM judged")
 sql("M20_vote_lookup", "SELECT p.page_id, COALESCE(t.risk_score, 0) > 50 AS malicious FROM pages p LEFT JOIN threats t ON t.id = p.page_id AND NOT t.is_deleted")
-on("M24_fold_auc", f"SELECT fold, round((sum(CASE WHEN positive THEN r ELSE 0 END) - np * (np + 1) / 2e0) / (np * CAST(n - np AS DOUBLE)), 6) AS auc FROM (SELECT *, rank() OVER (PARTITION BY fold ORDER BY score) + (count(*) OVER (PARTITION BY fold, score) - 1) / 2e0 AS r, count(*) FILTER (WHERE positive) OVER (PARTITION BY fold) AS np, count(*) OVER (PARTITION BY fold) AS n FROM (SELECT *, doc_id % 5 AS fold FROM judged)) GROUP BY fold, np, n")(lambda spark, d: _fold_auc(spark, d))
+on("M24_fold_auc", f"SELECT fold, round((sum(CASE WHEN positive THEN r ELSE 0 END) - np * (np + 1) / 2e0) / NULLIF(np * CAST(n - np AS DOUBLE), 0), 6) AS auc FROM (SELECT *, rank() OVER (PARTITION BY fold ORDER BY score) + (count(*) OVER (PARTITION BY fold, score) - 1) / 2e0 AS r, count(*) FILTER (WHERE positive) OVER (PARTITION BY fold) AS np, count(*) OVER (PARTITION BY fold) AS n FROM (SELECT *, doc_id % 5 AS fold FROM judged)) GROUP BY fold, np, n")(lambda spark, d: _fold_auc(spark, d))
 
 
 def _fold_auc(spark: SparkSession, d: str) -> DataFrame:
     per = frame(spark, d, J).groupBy((F.col("doc_id") % 5).alias("fold"), "score").agg(F.count_if(POS).alias("p"), F.count_if(~F.col(POS)).alias("n"))
     below = F.coalesce(F.sum("n").over(Window.partitionBy("fold").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     per = per.withColumn("wins", F.col("p") * (below + F.col("n") / 2))
-    return per.groupBy("fold").agg(F.round(F.sum("wins") / (F.sum("p") * F.sum("n")), 6).alias("auc"))
+    return per.groupBy("fold").agg(F.round(F.try_divide(F.sum("wins"), F.sum("p") * F.sum("n")), 6).alias("auc"))
 
 
 # metrics over cumulative counters: per user, value of the counter is the running count of events

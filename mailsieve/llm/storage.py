@@ -19,14 +19,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df computed once and written to the shared checkpoint folder, so lost executors cost no recomputation of its lineage.
+def release(spark: SparkSession) -> None:
+    """Collects garbage, which lets Spark's cleaner drop shuffle files of steps that are done."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
 
-    Garbage is collected first, which lets Spark's cleaner drop shuffle files of steps that are done.
-    """
+def saved(df: DataFrame) -> DataFrame:
+    """df computed once and written to the shared checkpoint folder, so lost executors cost no recomputation of its lineage. What earlier steps left is released first."""
     checkpoint_dir(df.sparkSession)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    release(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

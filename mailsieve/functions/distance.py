@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -40,25 +42,20 @@ def damerau_levenshtein(a: Column, b: Column, most: int = 2) -> Column:
 
 @F.pandas_udf(T.LongType())
 def simhash_text(text: pd.Series) -> pd.Series:
-    """64-bit SimHash of the distinct-or-not words of a text, by FNV-1a, in Arrow batches."""
-    cache: dict[str, np.ndarray] = {}
-
-    def votes(w: str) -> np.ndarray:
-        if (v := cache.get(w)) is None:
-            h = 0xCBF29CE484222325
-            for c in w.encode():
-                h = (h ^ c) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-            v = np.where(np.unpackbits(np.array([h], dtype="<u8").view(np.uint8), bitorder="little") == 1, 1, -1)
-            if len(cache) < 200000:
-                cache[w] = v
-        return v
-
-    def one(s: str | None) -> int | None:
+    """64-bit SimHash of the words of a text, in Arrow batches: bit b is set if more words' 8-byte BLAKE2 hashes have it than not. 0 without words."""
+    cache: dict[str, bytes] = {}
+
+    def hashed(w: str) -> bytes:
+        if (h := cache.get(w)) is None:
+            h = cache[w] = hashlib.blake2b(w.encode(), digest_size=8).digest()
+        return h
+
+    def one(s: str | None) -> int:
         words = (s or "").lower().split()
         if not words:
             return 0
-        total = np.sum([votes(w) for w in words], axis=0)
-        return int(np.packbits((total > 0).astype(np.uint8), bitorder="little").view("<i8")[0])
+        bits = np.unpackbits(np.frombuffer(b"".join(map(hashed, words)), dtype=np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        return int(np.packbits(2 * bits.sum(0) > len(words), bitorder="little").view("<i8")[0])
 
     return text.map(one).astype("int64")
 

@@ -53,7 +53,9 @@ def calibrated_or(channels: dict[str, Column], curves: dict = CURVES, final: tup
     for k, c in channels.items():
         q = F.greatest(F.lit(0.0), F.least(F.lit(cap), piecewise(c.cast("double"), *curves[k])))
         p, any_of = p * F.when(c.isNull(), 1.0).otherwise(1 - q), any_of | c.isNotNull()
-    return F.when(any_of, clamp(piecewise((1 - p) * 100, *final) * 100)).otherwise(0.0)
+    # the raw score is bound once: written out in every branch of the curve, its expression would grow with the curve
+    risk = F.get(F.transform(F.array((1 - p) * 100), lambda raw: clamp(piecewise(raw, *final) * 100)), 0)
+    return F.when(any_of, risk).otherwise(0.0)
 
 
 def alpha(count: Column, tau: float = 5.0, most: float = 0.30) -> Column:

@@ -45,7 +45,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def views(spark: SparkSession, sf_dir: str, names: list[str] = TABLES) -> None:
-    """The tables as temporary views, for SQL text."""
+    """The tables as temporary views, for SQL text; made once for a session and folder."""
+    if getattr(spark, "_mailsieve_views", None) == sf_dir:
+        return
+    spark._mailsieve_views = sf_dir
     for name in names:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
 

@@ -1,7 +1,6 @@
 """Line-first quality rules, in DataFrame functions only.
 
-Every line is judged by itself: punctuation (a line of MANY_WORDS words or more must end like a sentence, and symbols must be
-rare), navigation (rows of short items between bars or arrows, lone menu words) and boilerplate (stock phrases in short
+Every line is judged by itself: punctuation (long lines must end like a sentence or soon after one, and symbols must be rare), navigation (rows of short items between bars or arrows, lone menu words) and boilerplate (stock phrases in short
 lines, shouting). Failing lines are removed; a document that loses more than MAX_LOST_PERCENT of its word characters is
 rejected, as is one that fails the base rules. All is computed within a row, without a shuffle.
 """
@@ -14,8 +13,8 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 SYMBOLS = r"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, MAX_LOST_PERCENT = 50, 50, 50
-#: Lines from this many characters on must end with one of ENDINGS.
-LONG_LINE, SHORT_LINE = 40, 200
+#: Lines from LONG_LINE characters on must have one of ENDINGS among their last TAIL characters: a fragment after the last sentence is no fault.
+LONG_LINE, SHORT_LINE, TAIL = 40, 200, 40
 ENDINGS = r"""[.!?:;,"')\]\x{2026}\x{201D}\x{2019}\x{00BB}\x{3002}]"""
 #: Stock phrases and menu words, fixed values.
 BOILERPLATE = [
@@ -34,7 +33,7 @@ def line_passes(line: Column) -> Column:
     """Whether a line that has a word stays. Lines without a word always stay."""
     symbols, bars = _count(line, SYMBOLS), F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit("")))
     length = F.length(line)
-    punctuation = (symbols * 20 <= length) & ((length < LONG_LINE) | F.substring(F.rtrim(line), -1, 1).rlike(ENDINGS)) & ~F.endswith(F.rtrim(line), F.lit("!!"))
+    punctuation = (symbols * 20 <= length) & ((length < LONG_LINE) | F.substring(F.rtrim(line), -TAIL, TAIL).rlike(ENDINGS)) & ~F.endswith(F.rtrim(line), F.lit("!!"))
     navigation = (bars < 3) & ~((length <= SHORT_LINE) & F.lower(F.trim(line)).isin(MENU))
     boilerplate = (length > SHORT_LINE) | ~F.lower(line).rlike("|".join(BOILERPLATE))
     shouting = (length >= LONG_LINE) & (line == F.upper(line)) & (line != F.lower(line))

@@ -182,7 +182,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         comp = classes.select("d1", "d2", F.col("rep").alias("low"))
     else:
         of = classes.select("nid", "d1", "d2", "rep").join(labels, F.col("nid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "nid"))
-        low = of.groupBy("label").agg(F.min("rep").alias("low"))
+        # written first, so that the join can split a component of very many classes
+        low = saved(of.groupBy("label").agg(F.min("rep").alias("low")))
         comp = of.join(low, "label").select("d1", "d2", "low")
     rows = sig.select("doc_id", "n_shingles", "d1", "d2").join(comp, ["d1", "d2"], "left")
     rows = rows.select("doc_id", "n_shingles", F.when(F.col("d1").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))

@@ -269,6 +269,16 @@ def test_passages(spark):
     assert (whole.ref_doc_id, whole.first_word, whole.similarity) == (1, 0, 1.0)
 
 
+@pytest.mark.parametrize("every", [6, 8, 10])
+def test_passages_with_dense_edits(spark, every):
+    r, words, texts = random.Random(every), vocabulary(20000), []
+    for i in range(20):
+        x = prose(r, words, 60).split()
+        y = [r.choice(words) if k % every == i % every else w for k, w in enumerate(x)]
+        texts += [" ".join([prose(r, words, 50), *p, prose(r, words, 50)]) for p in (x, y)]
+    assert {x.doc_id for x in chains.repeated_passages(table(spark, texts)).collect()} == set(range(1, 40, 2))
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 80), st.integers(0, 80), st.integers(5, 12)), min_size=1, max_size=8))
 def test_chains_against_brute_force(raw):

@@ -298,6 +298,32 @@ def test_chains_against_brute_force(raw):
     assert max(c[1] - c[0] for c in out) >= max(r[1] - r[0] for r in runs) or best > 0
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 120), st.integers(0, 120), st.integers(5, 40)), min_size=1, max_size=6))
+def test_chain_scores_equal_brute_force(raw):
+    runs = [(p, p + n, r, r + n) for p, r, n in raw]
+    want = [0.0] * len(runs)
+    for size in range(1, len(runs) + 1):
+        for c in itertools.permutations(range(len(runs)), size):
+            score = runs[c[0]][1] - runs[c[0]][0]
+            for i, j in itertools.pairwise(c):
+                a, b = runs[i], runs[j]
+                skipped = b[0] - a[1], b[2] - a[3]
+                gain = score - chains.GAP_COST * sum(skipped)
+                if not all(-chains.K < x <= chains.MAX_GAP for x in skipped) or gain <= 0:
+                    break
+                score = gain + b[1] - b[0]
+            else:
+                want[c[-1]] = max(want[c[-1]], score)
+    assert chains.predecessors(runs)[0] == pytest.approx(want)
+
+
+def test_long_block_before_a_passage():
+    """Three runs of a passage are one chain though a better block ends out of reach."""
+    runs = [(0, 1000, 0, 1000), (1100, 1120, 1100, 1120), (1121, 1141, 1120, 1140), (1141, 1161, 1141, 1161)]
+    assert (1100, 1161, 1100, 1161) in chains.chained(runs)
+
+
 # 10
 def test_near_duplicates_by_brute_force(spark):
     r, words = random.Random(21), vocabulary(500)

@@ -241,9 +241,6 @@ def found(m: Model, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, f
     known = at >= 0
     weight = np.where(known, m.idf[at], m.other)
     begin, doc = _windowed(w)
-    energy = np.add.reduceat(weight**2, begin)
-    inside = np.add.reduceat(np.where(known, weight**2, 0.0), begin)
-    sums = [np.concatenate([[0.0], np.cumsum(x)]) for x in (energy, inside)]
     last = np.searchsorted(doc, doc, side="right")  # end of each block's row
     near = _near_rare_words(m, at, w, begin)
     tried: dict[tuple[int, int], list[tuple[float, int]]] = {}
@@ -251,8 +248,7 @@ def found(m: Model, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, f
         if not len(of):
             continue
         to = np.minimum(np.arange(len(begin)) + size // STRIDE, last)
-        whole, part = (s[to] - s[:-1] for s in sums)
-        pick = np.flatnonzero(near[size] & (part >= m.cosine**2 * whole))
+        pick = np.flatnonzero(near[size])
         for chunk in np.array_split(pick, len(pick) // 4096 + 1):
             if not len(chunk):
                 continue
@@ -269,7 +265,8 @@ def found(m: Model, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, f
             for k in range(size // STRIDE):
                 here = chunk + k < to[chunk]
                 total += np.where(here[:, None], z[np.where(here, np.minimum(slot + k, len(need) - 1), len(need))], 0)
-            cos = total @ vectors.T / np.sqrt(np.maximum(whole[chunk], 1e-9))[:, None]
+            # both sides by their norms within the space: what it doesn't hold of a window mustn't count against it
+            cos = total @ vectors.T / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
             for i, j in zip(*np.nonzero(cos >= m.cosine), strict=True):
                 tried.setdefault((int(doc[chunk[i]]), int(of[j])), []).append((float(cos[i, j]), int(begin[chunk[i]])))
     out = []

@@ -185,6 +185,17 @@ def test_leaks_found_and_clean_left(leaky):
     assert left == set(range(120)) - {d for d, _ in got}
 
 
+def test_leaks_of_a_full_block_of_long_items(spark):
+    """More passages than the latent space has directions, in a corpus of other texts."""
+    r, words = random.Random(31), vocabulary(20000)
+    draw = lambda n: r.choices(words, [1 / (k + 10) for k in range(len(words))], k=n)
+    items, picked = [draw(150) for _ in range(1000)], range(0, 1000, 25)
+    changed = [[draw(1)[0] if k % 4 == 0 and k < 110 else x for k, x in enumerate(items[i])] for i in picked]
+    texts = [" ".join([*draw(37), *x, *draw(40)]) for x in [*(items[i] for i in picked), *changed]] + [" ".join(draw(300)) for _ in range(1000)]
+    got = decontam.leaks(table(spark, texts), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == set(enumerate([*picked, *picked]))
+
+
 def test_lcs():
     def slow(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

@@ -290,23 +290,20 @@ def test_passages_with_dense_edits(spark, every):
     assert {x.doc_id for x in chains.repeated_passages(table(spark, texts)).collect()} == set(range(1, 40, 2))
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 80), st.integers(0, 80), st.integers(5, 12)), min_size=1, max_size=8))
-def test_chains_against_brute_force(raw):
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 80), st.integers(0, 80), st.integers(5, 12)), min_size=1, max_size=8, unique=True))
+def test_chains_hold_every_run_once(raw):
+    """Chains are made of whole runs, the first has the best score, and none is longer than what its runs and gaps allow."""
     runs = [(p, p + n, r, r + n) for p, r, n in raw]
-    best = 0.0
-    for size in range(1, len(runs) + 1):
-        for c in itertools.permutations(runs, size):
-            score, ok = float(c[0][1] - c[0][0]), True
-            for a, b in itertools.pairwise(c):
-                gain = score - chains.GAP_COST * (b[0] - a[1] + b[2] - a[3])
-                ok &= a[1] < b[0] + chains.K and a[3] < b[2] + chains.K and 0 <= b[0] - a[1] + chains.K and b[0] - a[1] <= chains.MAX_GAP and b[2] - a[3] <= chains.MAX_GAP and gain > 0 and a[0] <= b[0]
-                score = gain + b[1] - b[0]
-            if ok:
-                best = max(best, score)
+    score, last = chains.predecessors(runs)
     out = chains.chained(runs)
-    assert out and all(c[0] < c[1] for c in out)
-    assert max(c[1] - c[0] for c in out) >= max(r[1] - r[0] for r in runs) or best > 0
+    best = max(range(len(runs)), key=lambda i: score[i])
+    end = at = best
+    while last[at] >= 0:
+        at = last[at]
+    assert out[0] == (runs[at][0], runs[end][1], runs[at][2], runs[end][3])
+    assert {c[0] for c in out} <= {r[0] for r in runs} and {c[1] for c in out} <= {r[1] for r in runs}
+    assert len(out) <= len(runs)
 
 
 @settings(max_examples=200, deadline=None)
@@ -335,6 +332,53 @@ def test_long_block_before_a_passage():
     assert (1100, 1161, 1100, 1161) in chains.chained(runs)
 
 
+@pytest.mark.parametrize("tasks", [1, 3, 40])
+def test_passages_whose_seeds_stand_elsewhere(spark, tasks):
+    """A passage of two documents is found between them, though older ones hold its middle, or its two halves, however the rows are dealt to blocks."""
+    r, words, texts, want = random.Random(3), vocabulary(20000), [], set()
+    draw = lambda n: prose(r, words, n).split()
+    for t in range(20):
+        p = draw(60)
+        texts += [[*draw(40), *p[10:49], *draw(40)], [*draw(30), *p, *draw(30)], [*draw(20), *p, *draw(50)]]
+        want.add((3 * t + 2, 3 * t + 1))
+    for t in range(20):
+        p = draw(60)
+        halves, b, c = [[*draw(40), *p[:30]], [*p[30:], *draw(40)]], [*draw(30), *p], [*p, *draw(50)]
+        k = len(texts)
+        texts += [halves[0], b, halves[1], c] if t % 2 else [b, *halves, c]
+        want.add((k + 3, k + t % 2))
+    got = chains.repeated_passages(table(spark, [" ".join(x) for x in texts]).repartition(tasks)).collect()
+    assert want <= {(x.doc_id, x.ref_doc_id) for x in got if x.end_word - x.first_word >= 55}
+
+
+def test_passages_by_brute_force(spark):
+    """Texts put together from shared pieces: every word of a run of MIN_WORDS or more that an earlier text has too is reported, and nothing that no earlier text has."""
+    r, words = random.Random(17), vocabulary(5000)
+    pieces = [prose(r, words, r.choice([12, 25, 45, 80])).split() for _ in range(25)]
+    texts = [[w for _ in range(r.randint(1, 5)) for w in (r.choice(pieces) if r.random() < 0.6 else prose(r, words, 30).split())] for _ in range(60)]
+    want, may = {}, {}
+    for d, x in enumerate(texts):
+        for n, into in ((chains.MIN_WORDS, want), (chains.K, may)):
+            old = {tuple(y[i : i + n]) for y in texts[:d] for i in range(len(y) - n + 1)}
+            into[d] = {k for i in range(len(x) - n + 1) if tuple(x[i : i + n]) in old for k in range(i, i + n)}
+    found = {d: set() for d in want}
+    for x in chains.repeated_passages(table(spark, [" ".join(t) for t in texts]).repartition(7)).collect():
+        assert x.ref_doc_id < x.doc_id and x.end_word - x.first_word >= chains.MIN_WORDS and 75 <= 100 * x.similarity
+        got = set(range(x.first_word, x.end_word))
+        assert len(got & may[x.doc_id]) >= 0.6 * len(got)
+        found[x.doc_id] |= got
+    assert sum(map(len, want.values())) > 500
+    assert all(len(want[d] - found[d]) <= 0.02 * len(want[d]) for d in want)
+
+
+def test_passages_without_ids(spark):
+    r, words = random.Random(5), vocabulary(3000)
+    x, y = prose(r, words, 60), prose(r, words, 70)
+    df = spark.createDataFrame([(None, x), (None, y + " " + x), (4, x), (4, x)], "doc_id long, text string")
+    got = {(g.doc_id, g.ref_doc_id, g.end_word - g.first_word) for g in chains.repeated_passages(df).collect()}
+    assert got == {(None, None, 60), (4, None, 60)}
+
+
 # 10
 def test_near_duplicates_by_brute_force(spark):
     r, words = random.Random(21), vocabulary(500)

@@ -22,11 +22,11 @@ WITH w AS (
 l AS (SELECT doc_id, line_no, regexp_extract_all(raw, '[^\x20\x09-\x0D]+') AS ws FROM w),
 o AS (SELECT doc_id, line_no, ws, array_to_string(ws, ' ') AS line FROM l WHERE len(ws) > 0),
 d AS (SELECT line, any_value(ws) AS ws, min({'d': doc_id, 'l': line_no}) AS spot FROM o GROUP BY line),
-v AS (SELECT line, spot, len(ws) AS n, p, array_to_string(list_concat(ws[1:p - 1], ws[p + 1:]), ' ') AS rest FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS p FROM d WHERE len(ws) >= 8)),
+v AS (SELECT line, spot, len(ws) AS n, p, array_to_string(list_concat(ws[1:p - 1], ws[p + 1:]), ' ') AS rest FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS p FROM d WHERE len(ws) >= 2)),
 k AS (
   SELECT a.line, b.line AS other, b.spot AS near FROM v a JOIN v b ON a.rest = b.rest AND a.p = b.p AND a.n = b.n AND a.line <> b.line
-  UNION SELECT a.line, b.line, b.spot FROM v a JOIN d b ON a.rest = b.line AND len(b.ws) >= 8
-  UNION SELECT b.line, a.line, a.spot FROM v a JOIN d b ON a.rest = b.line AND len(b.ws) >= 8),
+  UNION SELECT a.line, b.line, b.spot FROM v a JOIN d b ON a.rest = b.line
+  UNION SELECT b.line, a.line, a.spot FROM v a JOIN d b ON a.rest = b.line),
 m AS (SELECT line, count(DISTINCT other) AS n_links, min(near) AS near FROM k GROUP BY line),
 g AS (SELECT d.line, CASE WHEN m.near < d.spot THEN m.near ELSE d.spot END AS keeper, coalesce(m.n_links, 0) AS n_links FROM d LEFT JOIN m USING (line))
 SELECT o.doc_id, o.line_no, (o.doc_id = g.keeper.d AND o.line_no = g.keeper.l) AS kept, g.keeper.d AS keeper_doc_id, g.keeper.l AS keeper_line, g.n_links FROM o JOIN g USING (line)

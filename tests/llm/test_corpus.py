@@ -126,7 +126,7 @@ def test_base_phrases():
 def near(a, b):
     if a == b:
         return True
-    if min(len(a), len(b)) < lines.MIN_WORDS or abs(len(a) - len(b)) > 1:
+    if max(len(a), len(b)) < 2 or abs(len(a) - len(b)) > 1:
         return False
     short, long = sorted((a, b), key=len)
     if len(a) == len(b):
@@ -136,15 +136,15 @@ def near(a, b):
 
 def test_lines_by_brute_force(spark):
     r, words = random.Random(7), ["a", "b", "the", *vocabulary(30)]
-    base = [[r.choice(words) for _ in range(r.choice([3, 8, 9, 12, 13, 16, 20]))] for _ in range(25)]
+    base = [[r.choice(words) for _ in range(r.choice([1, 2, 3, 4, 5, 6, 7, 8, 9, 12, 13, 16, 20]))] for _ in range(40)]
     texts = []
-    for _ in range(40):
+    for _ in range(60):
         ls = []
         for _ in range(4):
             x = list(r.choice(base))
             for _ in range(r.choice([0, 1, 1, 2])):
-                i = r.randrange(len(x))
-                x[i : i + 1] = r.choice([[], [r.choice(words)], [x[i], r.choice(words)]])
+                i = r.randrange(len(x)) if x else 0
+                x[i : i + 1] = r.choice([[], [r.choice(words)], [*x[i : i + 1], r.choice(words)]])
             ls.append("  ".join(x) if r.random() < 0.2 else " ".join(x))
         texts.append("\n".join(ls))
     flat = [(d, n, tuple(x.split())) for d, t in enumerate(texts) for n, x in enumerate(t.split("\n")) if x.split()]
@@ -156,6 +156,13 @@ def test_lines_by_brute_force(spark):
     assert got == want
 
 
+def test_lines_deduplicated(spark):
+    """Rows of one doc_id stay apart, those without one too; n-th lines of such rows are one place."""
+    df = spark.createDataFrame([(1, "one two three\n\nfour five six"), (1, "seven  eight nine"), (None, "ten eleven twelve"), (2, "one two four\nnew line here now"), (2, None), (3, "one two three"), (1, "seven  eight nine")], "doc_id long, text string")
+    got = sorted(((x.doc_id is None, x.doc_id or 0, x.text) for x in lines.deduplicated(df).collect()))
+    assert got == [(False, 1, "one two three\nfour five six"), (False, 1, "seven eight nine"), (False, 2, ""), (False, 2, "new line here now"), (False, 3, ""), (True, 0, "ten eleven twelve")]
+
+
 # 3
 @pytest.fixture(scope="module")
 def leaky(spark):

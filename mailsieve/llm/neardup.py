@@ -4,10 +4,11 @@
    hashed to band keys, and all samples are folded into a bitmap by parity (the odd sketch).
 2. Texts of equal sets form a class; only classes go on, so copies cost one map-side combined sum.
 3. Classes that share a band key are candidates. A shared key with many classes isn't expanded into pairs: its classes are
-   compared with one of them, its hub: in the first round the class that meets most others, later another member of the
-   key's largest component for each key and round. What is joined already isn't compared again. Whatever hubs decide, the
-   last round compares every remaining pair that shares a key, once, at the first key that it shares, so no link among the candidates is lost; it leaves out only
-   pairs that can't reach the threshold because too many shingles of one of them stand in no other class.
+   first compared with one of them, its hub, the class that meets most others; a group of near copies is joined so.
+   The classes that share a key with a class of another group, after that, are compared by rare shingles: two sets
+   that reach the threshold share one of the rarest quarter of the shingles of either, in one common order by rarity. So texts from one
+   template, whose rare shingles are their own, make no pairs however many share its band keys, and no link between such
+   classes is lost, whatever their band keys say.
 4. A pair is dropped if the odd sketches say that its similarity is surely under the threshold, else its sets are intersected.
 """
 
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import vec
 from .components import components
@@ -30,8 +32,6 @@ SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 40, 5
 #: All samples go into the sketch, the first BANDS * ROWS into the keys.
 N_HASHES, SKETCH_BITS = 512, 2048
-#: Rounds with hubs go on while the pairs left may be over this many for each class row with a shared key, and this often at most.
-PAIRS_PER_ROW, HUB_ROUNDS = 1, 1
 SIGNATURE = "d1 long, d2 long, n_shingles long, bands array<long>, sketch array<long>"
 
 _r = np.random.default_rng(20240229)
@@ -117,9 +117,10 @@ def _signer(shingle: int):
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and SIGNATURE of every row; a text without words has nulls and size 0."""
+    """doc_id, the text's hash t and SIGNATURE of every row; a text without words has nulls and size 0."""
     bounded_arrow(docs.sparkSession)
-    return docs.select(F.col("text").cast("string"), F.col("doc_id").cast("long")).mapInArrow(_signer(shingle), f"doc_id long, {SIGNATURE}")
+    text = F.col("text").cast("string")
+    return docs.select(text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t")).mapInArrow(_signer(shingle), f"doc_id long, t long, {SIGNATURE}")
 
 
 def _set_rows(shingle: int):
@@ -153,12 +154,36 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
-def _common_bound(minor: DataFrame, sets: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(nid, size, common): of each class in minor, how many shingles some other class in minor has too; no pair has more in common."""
-    each = sets.join(minor.select("nid").distinct(), "nid", "left_semi").select("nid", F.explode("shingles").alias("g"))
-    twice = each.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
-    common = each.join(twice.select("g"), "g").groupBy("nid").agg(F.count("*").alias("common"))
-    return saved(sketches.select("nid", F.col("n_shingles").alias("size"), "sketch", "bands").join(common, "nid"))
+def _rare(able: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(g, nid, label, size, rank): of each class in able (nid, label), those of its rarest shingles that a class of another label may meet it at.
+
+    rank counts all of a class's shingles from 1, the rarest first: those of no other class, then by the number of classes. A
+    set of n shingles shares at least ceil(percent n / 100) with any set that reaches the threshold, so one of its
+    first n - ceil(percent n / 100) + 1.
+    """
+    each = sets.join(able, "nid").select("nid", "label", F.size("shingles").alias("size"), F.explode("shingles").alias("g"))
+    twice = saved(each.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"))
+    each = each.join(twice, "g")
+    own = Window.partitionBy("nid")
+    each = each.select("g", "nid", "label", "size", (F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "g"))).cast("int").alias("rank"))
+    each = saved(each.where(F.col("rank") <= F.col("size") - F.ceil(percent * F.col("size") / 100) + 1))
+    met = saved(each.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("g"))
+    return saved(each.join(met, "g"))
+
+
+def _met(rare: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b, of classes of different labels that may reach the threshold by the rank of a shingle that they share.
+
+    The smaller of two sets shares 2 percent / (100 + percent) of its own shingles if they reach it, so its first ones are
+    fewer still. Where the first shingle that both have stands, what is left of either must hold all others that they share.
+    """
+    side = lambda k: rare.select("g", F.col("nid").alias(k), F.col("label").alias(f"l{k}"), F.col("size").alias(f"n{k}"), F.col("rank").alias(f"r{k}"))
+    small, large = side("x"), side("y")
+    small = small.where(F.col("rx") <= F.col("nx") - F.ceil(2 * percent * F.col("nx") / (100 + percent)) + 1)
+    order = F.struct("nx", "x") < F.struct(F.col("ny").alias("nx"), F.col("y").alias("x"))
+    left = F.least(F.col("nx") - F.col("rx"), F.col("ny") - F.col("ry")) + 1
+    both = small.join(large, "g").where(order & (F.col("lx") != F.col("ly")) & ((100 + percent) * left >= percent * (F.col("nx") + F.col("ny"))) & (100 * F.col("nx") >= percent * F.col("ny")))
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -172,18 +197,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     """
     sig = saved(signatures(docs, shingle))
     some = sig.where("d1 IS NOT NULL")
-    classes = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch")))
+    classes = some.groupBy("d1", "d2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "t")).alias("rep"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch")))
     classes = saved(classes.withColumn("nid", F.monotonically_increasing_id()))
     keys = classes.select("nid", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = saved(keys.join(shared, "key").select("key", "nid", "n"))
     labels = _linked(docs, classes, shared, shingle, percent)
     if labels is None:
-        comp = classes.select("d1", "d2", F.col("rep").alias("low"))
+        comp = classes.select("d1", "d2", F.col("rep.doc_id").alias("low"))
     else:
         of = classes.select("nid", "d1", "d2", "rep").join(labels, F.col("nid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "nid"))
         # written first, so that the join can split a component of very many classes
-        low = saved(of.groupBy("label").agg(F.min("rep").alias("low")))
+        low = saved(of.groupBy("label").agg(F.min("rep.doc_id").alias("low")))
         comp = of.join(low, "label").select("d1", "d2", "low")
     rows = sig.select("doc_id", "n_shingles", "d1", "d2").join(comp, ["d1", "d2"], "left")
     rows = rows.select("doc_id", "n_shingles", F.when(F.col("d1").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))
@@ -192,52 +217,30 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
 def _linked(docs: DataFrame, classes: DataFrame, shared: DataFrame, shingle: int, percent: int) -> DataFrame | None:
     """(node, label) for classes with a link; None if no band key is shared."""
-    n_rows = shared.count()
-    if not n_rows:
+    if not shared.limit(1).count():
         return None
     degree = shared.groupBy("nid").agg(F.sum(F.col("n") - 1).alias("degree"))
-    wanted = classes.select("nid", "d1", "d2", F.col("rep").alias("doc_id")).join(degree.select("nid"), "nid", "left_semi")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
-    sets = wanted.join(texts, wanted["doc_id"].eqNullSafe(texts["doc_id"])).select("text", "nid", "d1", "d2")
+    wanted = classes.select("nid", "d1", "d2", "rep.doc_id", "rep.t").join(degree.select("nid"), "nid", "left_semi")
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t"))
+    sets = wanted.join(texts, (wanted["t"] == texts["t"]) & wanted["doc_id"].eqNullSafe(texts["doc_id"])).select("text", "nid", "d1", "d2")
     sets = saved(sets.mapInArrow(_set_rows(shingle), "nid long, shingles array<long>").dropDuplicates(["nid"]))
     sketches = classes.select("nid", "sketch", "n_shingles", "bands").join(degree.select("nid"), "nid", "left_semi")
     rows = saved(shared.select("key", "nid").join(degree, "nid"))
-    labels = rows.select(F.col("nid").alias("node")).distinct().withColumn("label", F.col("node"))
-    tried = found = None
-    for k in range(HUB_ROUNDS + 1):
-        at = rows.join(labels, F.col("nid") == F.col("node"))
-        at = at.select("key", "nid", "label", (F.col("degree") if k == 0 else F.xxhash64("nid", "key", F.lit(k))).alias("degree"))
-        per = at.groupBy("key", "label").agg(F.count("*").alias("n"), F.max_by("nid", "degree").alias("top"), F.max("degree").alias("degree"))
-        main = per.groupBy("key").agg(F.max_by("label", "n").alias("main"), F.sum("n").alias("all"), F.count("*").alias("labels"), F.max_by("top", "degree" if k == 0 else "n").alias("hub"), F.max_by("label", "degree" if k == 0 else "n").alias("hub_label")).where("labels > 1")
-        minor = saved(at.join(main, "key").select("key", "nid", "label", "main", "all", "hub", "hub_label"))
-        left = minor.where("label <> main").agg(F.sum("all")).first()[0] or 0
-        if not left:
-            break
-        last = k == HUB_ROUNDS or left <= PAIRS_PER_ROW * n_rows
-        if last:
-            able = _common_bound(minor, sets, sketches)
-            side = lambda k: minor.join(able, "nid").select("key", "main", F.col("nid").alias(k), F.col("label").alias(f"l{k}"), F.col("size").alias(f"n{k}"), F.col("common").alias(f"c{k}"), F.col("sketch").alias(f"s{k}"), F.col("bands").alias(f"b{k}"))  # noqa: B023, E731
-            few = side("x").where("lx <> main")
-            enough = (F.col("lx") != F.col("ly")) & ((100 + percent) * F.least("cx", "cy") >= percent * (F.col("nx") + F.col("ny"))) & (_bits_apart("sx", "sy") <= most_odd_bits(percent))
-            once = ((F.col("ly") == F.col("f.main")) | (F.col("x") < F.col("y"))) & (F.get(F.array_intersect("bx", "by"), 0) == F.col("f.key"))
-            few, many = few.alias("f"), side("y").drop("main").alias("m")
-            pairs = few.join(many, (F.col("f.key") == F.col("m.key")) & enough & once)
-        else:
-            pairs = minor.where("label <> hub_label").select(F.col("nid").alias("x"), F.col("hub").alias("y"))
-        first = F.col("x") < F.col("y")
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), *((F.when(first, F.col(p)).otherwise(F.col(q)).alias(c) for p, q, c in (("nx", "ny", "na"), ("ny", "nx", "nb"))) if last else ())).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = saved(pairs)
-        good = saved(_confirmed(pairs if last else _sketched(pairs, sketches, percent), sets, percent))
-        pairs = pairs.select("a", "b")
-        tried = pairs if tried is None else tried.union(pairs)
-        found = good if found is None else found.union(good)
-        grown = components(found)
-        labels = saved(rows.select("nid").distinct().join(grown, F.col("nid") == F.col("node"), "left").select(F.col("nid").alias("node"), F.coalesce("label", "nid").alias("label")))
-        if last:
-            break
-    return labels
+    hubs = saved(rows.groupBy("key").agg(F.max_by("nid", F.struct("degree", "nid")).alias("hub")))
+    pairs = rows.join(hubs, "key").where("nid <> hub").select(F.least("nid", "hub").alias("a"), F.greatest("nid", "hub").alias("b")).distinct()
+    good = saved(_confirmed(_sketched(pairs, sketches, percent), sets, percent))
+
+    def labelled(links: DataFrame) -> DataFrame:
+        return saved(degree.select("nid").join(components(links), F.col("nid") == F.col("node"), "left").select(F.col("nid").alias("node"), F.coalesce("label", "nid").alias("label")))
+
+    labels = labelled(good)
+    at = rows.join(labels, F.col("nid") == F.col("node")).select("key", "nid", "label")
+    mixed = saved(at.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"))
+    able = saved(at.join(mixed, "key").select("nid", "label").distinct())
+    pairs = _met(_rare(able, sets, percent), percent)
+    more = saved(_confirmed(_sketched(pairs, sketches, percent), sets, percent))
+    return labelled(good.union(more)) if more.limit(1).count() else labels
 
 
 def representatives(docs: DataFrame, **how: int) -> DataFrame:

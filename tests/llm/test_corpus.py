@@ -11,6 +11,7 @@ import pytest
 from compare import connection, differs
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from mailsieve.llm import chains, decontam, licenses, lines, mixing, neardup, puquality, queries, rules, shards, toxic, vec
 
@@ -37,8 +38,6 @@ def odd(spark):
     rows = [(1, "a b c. " * 30, "en", "x", 1), (1, "a b c. " * 30, "en", "x", 1), (2, None, None, None, None), (None, "lone words here", "de", None, 3), (3, "", "en", "y", 0), (4, " \n\t ", "en", "y", 3), (5, long, "en", "x", len(long)), (6, long + " tail", "en", "z", 1), (6, "other text of six", "en", "z", 1), (7, "\x00é  ß", "fr", "x", 5), (8, "x" * 300000, "en", "x", 1)]
     df = spark.createDataFrame(rows, SCHEMA)
     extra = ["size", "rules", "mix", "shard", "slot", "label", "score", "kept", "nid", "range", "at", "key", "line"]
-    from pyspark.sql import functions as F
-
     return df.select("*", *[F.lit(i).alias(c) for i, c in enumerate(extra)])
 
 
@@ -415,6 +414,36 @@ def test_near_duplicates_by_brute_force(spark):
     assert got == {i: (low[i], len(s[i])) for i in range(len(s))}
 
 
+def test_template_texts_make_few_pairs(spark):
+    """Texts that share half of their shingles with each other share band keys, in the square of their number, but no rare shingles."""
+    r, words = random.Random(8), vocabulary(4000)
+    half = prose(r, words, 60)
+    rare = {}
+    for n in (400,):
+        df = table(spark, [f"{half} {prose(r, words, 18)}" for _ in range(n)])
+        sig = neardup.signatures(df).where("d1 IS NOT NULL").withColumn("nid", F.col("doc_id"))
+        sets = df.selectExpr("text", "doc_id AS nid").join(sig.select("nid", "d1", "d2"), "nid").select("text", "nid", "d1", "d2").mapInArrow(neardup._set_rows(5), "nid long, shingles array<long>")
+        rare[n] = neardup._met(neardup._rare(sig.selectExpr("nid", "nid AS label"), sets, 75), 75).count()
+        assert neardup.near_duplicates(df).where("kept").count() == n
+    assert rare[400] == 0
+
+
+def test_rare_shingles_lose_no_link(spark):
+    r, words = random.Random(2), vocabulary(60)
+    base = [prose(r, words, n).split() for n in (6, 20, 60)]
+    texts = []
+    for _ in range(120):
+        x = list(r.choice(base))
+        for _ in range(r.choice([1, 1, 2, 3])):
+            x[r.randrange(len(x))] = r.choice(words)
+        texts.append(x)
+    s = [frozenset(tuple(x[i : i + 5]) for i in range(len(x) - 4)) for x in texts]
+    rows = [(i, i, [hash(g) for g in x]) for i, x in enumerate(s)]
+    df = spark.createDataFrame(rows, "nid long, label long, shingles array<long>")
+    got = {(x.a, x.b) for x in neardup._met(neardup._rare(df.select("nid", "label"), df.select("nid", "shingles"), 75), 75).collect()}
+    assert {(i, j) for i, j in itertools.combinations(range(len(s)), 2) if 100 * len(s[i] & s[j]) >= 75 * len(s[i] | s[j])} <= got
+
+
 # pipeline
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as c

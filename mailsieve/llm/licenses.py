@@ -6,7 +6,8 @@ A template is text with two kinds of marked regions:
 All else is mandatory wording. Texts and templates are compared as words: lower-cased A-Z, runs of letters, digits and
 non-ASCII characters, so layout and punctuation don't matter. compiled() makes a template an automaton over words; a text
 has the license where the automaton runs from a start to its last state, that is where the mandatory wording is matched
-exactly. Runs begin only where the template's longest fixed wording stands, found by a byte search.
+exactly. Runs begin only where the template's longest fixed wording stands, found by a byte search. Short licenses are templates
+as a whole; of the long ones (Apache, GPL, MPL, Creative Commons) their notices are.
 """
 
 from __future__ import annotations
@@ -25,23 +26,43 @@ from .storage import bounded_arrow
 
 #: Phrase -> label, fixed values.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Label -> templates, fixed wording of public licenses and of their usual notices.
-TEMPLATES = {
-    "mit": ["<<opt>>released<<end>> <<opt>>licensed<<end>> under the MIT license", "Permission is hereby granted, free of charge, to any person obtaining a copy of <<var software 12>> and associated documentation files <<opt>>(the \"Software\")<<end>>, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"],
-    "apache-2.0": ["licensed under the Apache License, <<opt>>Version<<end>> 2.0", "Licensed under the Apache License, Version 2.0 <<opt>>(the \"License\")<<end>>; you may not use <<var file 6>> except in compliance with the License"],
-    "gpl-2.0": ["<<opt>>this work is<<end>> licensed under the <<opt>>GNU<<end>> General Public License, <<opt>>GPL<<end>> <<opt>>version<<end>> 2", "under the terms of the GNU General Public License as published by the Free Software Foundation; <<opt>>either<<end>> version 2"],
-    "gpl-3.0": ["<<opt>>this work is<<end>> licensed under the <<opt>>GNU<<end>> General Public License, <<opt>>GPL<<end>> <<opt>>version<<end>> 3", "under the terms of the GNU General Public License as published by the Free Software Foundation, <<opt>>either<<end>> version 3"],
+#: Label -> whole license texts, fixed wording of the public licenses; copyright lines are no part of them. A text with a
+#: clause more, or a condition changed, isn't accepted.
+_NO_WARRANTY = "THIS SOFTWARE IS PROVIDED BY <<var holder 24>> AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var holder 24>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: <<opt>>1.<<end>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. <<opt>>2.<<end>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAMES = "<<opt>>3.<<end>> <<opt>>4.<<end>> Neither the name of <<var holder 24>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_ADVERTISING = "<<opt>>3.<<end>> All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by <<var holder 24>>."
+_MIT_GRANT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so'
+_MIT_END = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<var holder 16>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_ISC_END = 'THE SOFTWARE IS PROVIDED "AS IS" AND <<var holder 12>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var holder 12>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+LICENSES = {
+    "mit": f"{_MIT_GRANT}, subject to the following conditions: The above copyright notice and this permission notice <<opt>>(including the next paragraph)<<end>> shall be included in all copies or substantial portions of the Software. {_MIT_END}",
+    "mit-0": f"{_MIT_GRANT}. {_MIT_END}",
+    "bsd-2-clause": f"{_BSD} {_NO_WARRANTY}",
+    "bsd-3-clause": f"{_BSD} {_BSD_NAMES} {_NO_WARRANTY}",
+    "bsd-4-clause": f"{_BSD} {_BSD_ADVERTISING} {_BSD_NAMES} {_NO_WARRANTY}",
+    "isc": f"Permission to use, copy, modify, <<opt>>and<<end>> <<opt>>or<<end>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. {_ISC_END}",
+    "0bsd": f"Permission to use, copy, modify, <<opt>>and<<end>> <<opt>>or<<end>> distribute this software for any purpose with or without fee is hereby granted. {_ISC_END}",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will <<var holder 12>> be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: <<opt>>1.<<end>> The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. <<opt>>2.<<end>> Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. <<opt>>3.<<end>> This notice may not be removed or altered from any source distribution.",
+    "unlicense": 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. <<opt>>For more information, please refer to <<var link 8>><<end>>',
+    "bsl-1.0": 'Boost Software License - Version 1.0 - August 17th, 2003 Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+}
+#: Label -> notices by which works say that they are under a license, whole wording of the notice.
+_GPL = "<<opt>>it under<<end>> the terms of the GNU <<KIND>> General Public License as published by the Free Software Foundation<<opt>>,<<end>> <<opt>>either<<end>> version"
+NOTICES = {
+    "mit": ["<<opt>>released<<end>> <<opt>>licensed<<end>> under the MIT license"],
+    "apache-2.0": ["licensed under the Apache License, <<opt>>Version<<end>> 2.0", 'Licensed under the Apache License, Version 2.0 <<opt>>(the "License")<<end>>; you may not use <<var file 6>> except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'],
+    "gpl-2.0": ["<<opt>>this work is<<end>> licensed under the <<opt>>GNU<<end>> General Public License, <<opt>>GPL<<end>> <<opt>>version<<end>> 2", _GPL.replace("<<KIND>> ", "") + " 2"],
+    "gpl-3.0": ["<<opt>>this work is<<end>> licensed under the <<opt>>GNU<<end>> General Public License, <<opt>>GPL<<end>> <<opt>>version<<end>> 3", _GPL.replace("<<KIND>> ", "") + " 3"],
     "lgpl": ["under the <<opt>>terms of the<<end>> GNU Lesser General Public License"],
     "agpl": ["under the <<opt>>terms of the<<end>> GNU Affero General Public License"],
     "cc-by-4.0": ["licensed under <<opt>>a<<end>> <<opt>>the<<end>> <<opt>>Creative Commons<<end>> <<opt>>CC<<end>> <<opt>>Attribution<<end>> BY 4.0", "licensed under <<opt>>a<<end>> <<opt>>the<<end>> Creative Commons Attribution 4.0 <<opt>>International<<end>> License"],
     "cc-by-sa-4.0": ["licensed under <<opt>>a<<end>> <<opt>>the<<end>> CC BY-SA 4.0", "licensed under <<opt>>a<<end>> <<opt>>the<<end>> Creative Commons Attribution-ShareAlike 4.0 <<opt>>International<<end>> License"],
     "cc-by-nc-4.0": ["licensed under <<opt>>a<<end>> <<opt>>the<<end>> CC BY-NC 4.0", "licensed under <<opt>>a<<end>> <<opt>>the<<end>> Creative Commons Attribution-NonCommercial 4.0 <<opt>>International<<end>> License"],
     "cc0-1.0": ["CC0 1.0 <<opt>>Universal<<end>>"],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
-    "mpl-2.0": ["subject to the terms of the Mozilla Public License, <<opt>>v.<<end>> <<opt>>version<<end>> 2.0"],
-    "unlicense": ["This is free and unencumbered software released into the public domain"],
+    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, <<opt>>v.<<end>> <<opt>>version<<end>> 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at <<opt>>http<<end>> <<opt>>https<<end>> mozilla.org/MPL/2.0/"],
 }
+TEMPLATES = {label: [*([LICENSES[label]] if label in LICENSES else []), *NOTICES.get(label, [])] for label in [*LICENSES, *(x for x in NOTICES if x not in LICENSES)]}
 
 
 class Automaton(NamedTuple):
@@ -172,7 +193,7 @@ def scan(text: bytes | None, phrases: dict[str, str] = PHRASES, templates: dict
 
 TO_WORDS = bytes(vec.ALNUM.tolist()).replace(b"\0", b" ")
 #: Every phrase and template has one of these words.
-ANCHORS = (b" license ", b" licensed ", b" permission ", b" redistribution ", b" unencumbered ", b" cc0 ")
+ANCHORS = (b" license ", b" licensed ", b" permission ", b" redistribution ", b" unencumbered ", b" cc0 ", b" gnu ")
 MATCH = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("end", pa.int64())]))
 OUT = pa.schema([("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("matches", MATCH)])
 

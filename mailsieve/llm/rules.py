@@ -1,6 +1,6 @@
 """Line-first quality rules, in DataFrame functions only.
 
-Every line is judged by itself: punctuation (long lines must end like a sentence or soon after one, and symbols must be rare), navigation (rows of short items between bars or arrows, lone menu words) and boilerplate (stock phrases in short
+Every line is judged by itself: punctuation (long lines must end as a sentence does, and symbols must be rare), navigation (rows of short items between bars, lone menu words) and boilerplate (stock phrases in short
 lines, shouting). Failing lines are removed; a document that loses more than MAX_LOST_PERCENT of its word characters is
 rejected, as is one that fails the base rules. All is computed within a row, without a shuffle.
 """
@@ -13,15 +13,23 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 SYMBOLS = r"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, MAX_LOST_PERCENT = 50, 50, 50
-#: Lines from LONG_LINE characters on must have one of ENDINGS among their last TAIL characters: a fragment after the last sentence is no fault.
-LONG_LINE, SHORT_LINE, TAIL = 40, 200, 40
-ENDINGS = r"""[.!?:;,"')\]\x{2026}\x{201D}\x{2019}\x{00BB}\x{3002}]"""
-#: Stock phrases and menu words, fixed values.
+#: Lines from LONG_LINE characters on must end as a sentence does: with one of these, and closing quotes or brackets after it.
+LONG_LINE, SHORT_LINE = 40, 200
+ENDINGS = r"""[.!?:;\x{2026}\x{3002}]["')\]\x{201D}\x{2019}\x{00BB}]*$"""
+#: Stock phrases and menu words in four languages, fixed values.
 BOILERPLATE = [
-    "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "terms and conditions", "use of cookies", "enable javascript",
-    "lorem ipsum", "subscribe to our newsletter", "sign up for our newsletter", "follow us on", "share on facebook", "share on twitter", "powered by wordpress", "click here to", "log in to comment",
+    "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "terms and conditions", "use of cookies", "enable javascript", "lorem ipsum", "subscribe to our newsletter", "sign up for our newsletter",
+    "follow us on", "share on facebook", "share on twitter", "powered by wordpress", "click here to", "log in to comment",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "verwendung von cookies", "newsletter abonnieren", "folgen sie uns", "hier klicken", "zum warenkorb",
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "mentions légales", "utilisation de cookies", "abonnez-vous à", "suivez-nous", "cliquez ici",
+    "todos los derechos reservados", "política de privacidad", "términos de uso", "aviso legal", "uso de cookies", "suscríbete a", "síguenos en", "haz clic aquí",
+]
+MENU = [
+    "home", "menu", "login", "log in", "sign in", "sign up", "register", "search", "contact", "contact us", "about", "about us", "sitemap", "next", "previous", "back to top", "skip to content", "read more", "share", "print", "faq", "help",
+    "startseite", "menü", "anmelden", "abmelden", "registrieren", "suche", "kontakt", "impressum", "über uns", "weiter", "zurück", "nach oben", "mehr lesen", "teilen", "drucken", "hilfe",
+    "accueil", "connexion", "s'inscrire", "recherche", "rechercher", "contactez-nous", "à propos", "plan du site", "suivant", "précédent", "haut de page", "lire la suite", "partager", "imprimer", "aide",
+    "inicio", "menú", "iniciar sesión", "registrarse", "buscar", "contacto", "sobre nosotros", "mapa del sitio", "siguiente", "anterior", "volver arriba", "leer más", "compartir", "imprimir", "ayuda",
 ]
-MENU = ["home", "menu", "login", "log in", "sign in", "sign up", "register", "search", "contact", "contact us", "about", "about us", "sitemap", "next", "previous", "back to top", "skip to content", "read more", "share", "print", "faq", "help"]
 
 
 def _count(text: Column, chars: str) -> Column:
@@ -33,7 +41,7 @@ def line_passes(line: Column) -> Column:
     """Whether a line that has a word stays. Lines without a word always stay."""
     symbols, bars = _count(line, SYMBOLS), F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit("")))
     length = F.length(line)
-    punctuation = (symbols * 20 <= length) & ((length < LONG_LINE) | F.substring(F.rtrim(line), -TAIL, TAIL).rlike(ENDINGS)) & ~F.endswith(F.rtrim(line), F.lit("!!"))
+    punctuation = (symbols * 20 <= length) & ((length < LONG_LINE) | F.substring(F.rtrim(line), -8, 8).rlike(ENDINGS)) & ~F.endswith(F.rtrim(line), F.lit("!!"))
     navigation = (bars < 3) & ~((length <= SHORT_LINE) & F.lower(F.trim(line)).isin(MENU))
     boilerplate = (length > SHORT_LINE) | ~F.lower(line).rlike("|".join(BOILERPLATE))
     shouting = (length >= LONG_LINE) & (line == F.upper(line)) & (line != F.lower(line))

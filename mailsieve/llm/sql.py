@@ -39,7 +39,7 @@ g AS (SELECT doc_id, i, array_to_string(ws[i:i + 2], ' ') AS win FROM (SELECT do
 r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS c FROM g) WHERE c > 1),
 n AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (VALUES (0), (1), (2)) t(k) GROUP BY doc_id),
 p AS (SELECT doc_id, x, ws, ls, list_filter(ls, lambda y:
-    length(regexp_replace(y, '[^#*$%&|<>]+', '', 'g')) * 20 <= length(y) AND (length(y) < 40 OR regexp_matches(right(rtrim(y), 40), @ENDINGS@)) AND NOT suffix(rtrim(y), '!!')
+    length(regexp_replace(y, '[^#*$%&|<>]+', '', 'g')) * 20 <= length(y) AND (length(y) < 40 OR regexp_matches(right(rtrim(y), 8), @ENDINGS@)) AND NOT suffix(rtrim(y), '!!')
     AND length(y) - length(replace(y, '|', '')) < 3 AND NOT (length(y) <= 200 AND list_contains(@MENU@, lower(trim(y))))
     AND (length(y) > 200 OR NOT regexp_matches(lower(y), @BOILERPLATE@)) AND NOT (length(y) >= 40 AND y = upper(y) AND y <> lower(y))) AS ok FROM w),
 f AS (SELECT p.doc_id, CAST(len(ws) AS BIGINT) AS n_words, length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(x, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,

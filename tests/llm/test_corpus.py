@@ -115,6 +115,34 @@ def test_licenses_by_regex():
                 assert got == want, (label, text)
 
 
+def filled(template, var="Some Body", opt=True):
+    """A text of the template and, for each of its words, whether it is mandatory."""
+    out, depth = [], 0
+    for k, piece in enumerate(template.replace(">>", "<<").split("<<")):
+        if k % 2 == 0:
+            out += [(w.decode(), not depth) for w in licenses.tokens(piece) if opt or not depth]
+        elif piece.startswith("var"):
+            out += [(w, False) for w in var.split()]
+        else:
+            depth += 1 if piece == "opt" else -1
+    return out
+
+
+@pytest.mark.parametrize("label", licenses.LICENSES)
+def test_whole_licenses(label):
+    """A change of any mandatory word is refused, and so is a clause put in; holders and optional words may change. No other license's template accepts it."""
+    accepted = lambda words: {x["label"] for x in licenses.scan(" ".join(["before", *words, "after"]).encode())["matches"]}
+    for opt in (True, False):
+        words = filled(licenses.LICENSES[label], "The Regents of the University and others", opt)
+        text = [w for w, _ in words]
+        assert accepted(text) == {label}
+        for i in [k for k, (_, must) in enumerate(words) if must]:
+            assert label not in accepted([*text[:i], "changed", *text[i + 1 :]]), text[i]
+    half = len(text) // 2
+    if words[half][1] and words[half - 1][1]:
+        assert label not in accepted([*text[:half], "for non commercial use", *text[half:]])
+
+
 def test_base_phrases():
     got = licenses.scan(b"MIT License, mit-license and the General Public\nLicense")
     assert (got["n_words"], got["n_base"], got["first_word"], got["last_word"], got["base_labels"]) == (9, 3, 0, 6, "gpl,mit")

@@ -110,3 +110,22 @@ def bootstrap(df: DataFrame, key: str, stat: Column, resamples: int = 400, seed:
     means = per.groupBy("b").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
     q = lambda x: F.round(F.percentile("m", F.lit(x)), 4)
     return means.agg(q(0.025).alias("low"), q(0.5).alias("mid"), q(0.975).alias("high"))
+
+
+def out_of_fold(df: DataFrame, fold: str, by: str, positive: str) -> DataFrame:
+    """df with out_of_fold: the rate of positives among the rows with the same `by` outside the row's own fold, smoothed by one row at the rate of all rows outside.
+
+    Counts are taken by (fold, by) once; a fold's own are taken off the totals, so nothing is fitted fold after fold.
+    """
+    own = df.groupBy(fold, by).agg(F.count_if(F.col(positive)).alias("_p"), F.count("*").alias("_n"))
+    rates = own.select(fold, by, *((F.sum(c).over(Window.partitionBy(by)) - F.col(c)).alias(f"{c}o") for c in ("_p", "_n")))
+    folds = own.groupBy(fold).agg(F.sum("_p").alias("_pf"), F.sum("_n").alias("_nf"))
+    total = own.agg(F.sum("_p").alias("_pa"), F.sum("_n").alias("_na"))
+    folds = folds.join(F.broadcast(total)).select(fold, ((F.col("_pa") - F.col("_pf")) / (F.col("_na") - F.col("_nf"))).alias("_rate"))  # a row a fold, and one row
+    out = df.join(rates, [fold, by]).join(F.broadcast(folds), fold)
+    return out.withColumn("out_of_fold", (F.col("_po") + F.col("_rate")) / (F.col("_no") + 1)).drop("_po", "_no", "_rate")
+
+
+def held_out_by(df: DataFrame, provenance: str, trained_on: list) -> DataFrame:
+    """df with is_train: whether the row comes from one of the sources trained on; all others are held out whole, and so is a row of no known source."""
+    return df.withColumn("is_train", F.coalesce(F.col(provenance).isin(trained_on), F.lit(False)))

@@ -72,13 +72,49 @@ def tag_dedupe(tags: Column) -> Column:
     return F.filter(clean, lambda x, i: F.array_position(F.transform(clean, lambda y: F.lower(y)), F.lower(x)) == i + 1)
 
 
-def running_mean(values: Column) -> Column:
-    """The mean that grows by round((mean * n + value) / (n + 1)) over an array in order."""
-    start = F.struct(F.lit(0).cast("long").alias("m"), F.lit(0).cast("long").alias("n"))
+def running_mean(values: Column, mean: Column | None = None, n: Column | None = None) -> Column:
+    """The mean that grows by round((mean * n + value) / (n + 1)) over an array in order, from a mean of n values on."""
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.coalesce(mean.cast("long"), zero).alias("m") if mean is not None else zero.alias("m"), F.coalesce(n.cast("long"), zero).alias("n") if n is not None else zero.alias("n"))
     step = lambda a, v: F.struct(F.floor((a["m"] * a["n"] + v) / (a["n"] + 1) + 0.5).cast("long").alias("m"), (a["n"] + 1).alias("n"))
     return F.aggregate(values, start, step)["m"]
 
 
+def campaign_upsert(old: DataFrame, new: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
+    """(key, is_new, risk_score, email_count): campaigns after each row of new, in order, was put into its campaign or opened one.
+
+    The mean is rounded at every step, so a campaign's new values are folded in order; only they are gathered, per campaign of one batch.
+    """
+    batch = new.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("long").alias("_v")))).alias("_x"))
+    out = old.withColumn("_old", F.lit(True)).join(batch, key, "full")
+    values = F.coalesce(F.transform("_x", lambda x: x["_v"]), F.array().cast("array<bigint>"))
+    return out.select(key, F.col("_old").isNull().alias("is_new"), running_mean(values, F.col("risk_score"), F.col("email_count")).alias("risk_score"), (F.coalesce("email_count", F.lit(0)) + F.size(values)).cast("long").alias("email_count"))
+
+
+def partial_update(old: DataFrame, changes: DataFrame, key: str, guard: Column | None = None) -> DataFrame:
+    """old with the columns that changes has too set to its values where they aren't null; rows that the guard excludes stay."""
+    cols = [c for c in changes.columns if c != key]
+    c = changes.select(F.col(key).alias("_k"), *[F.col(x).alias(f"_{x}") for x in cols])
+    may = F.lit(True) if guard is None else F.coalesce(guard, F.lit(False))
+    out = old.join(c, F.col(key) == F.col("_k"), "left")
+    return out.select(*[F.when(may, F.coalesce(f"_{x}", x)).otherwise(F.col(x)).alias(x) if x in cols else F.col(x) for x in old.columns])
+
+
+def cascade_delete(children: dict[str, DataFrame], gone: DataFrame, key: str) -> dict[str, DataFrame]:
+    """The children less the rows that belong to a parent in gone; null keys belong to none."""
+    parents = gone.select(key).distinct()
+    return {name: df.join(parents, key, "left_anti") for name, df in children.items()}
+
+
+def refuse_locked(rows: DataFrame, changes: DataFrame, used: DataFrame, key: str) -> DataFrame:
+    """rows with the changes that may be made, and `refused`: rows that `used` refers to don't change."""
+    locked = used.select(F.col(key).alias("_u")).distinct()
+    out = rows.join(locked, F.col(key) == F.col("_u"), "left").withColumn("_locked", F.col("_u").isNotNull())
+    changed = partial_update(out.drop("_u"), changes, key, ~F.col("_locked"))
+    asked = changes.select(F.col(key).alias("_a")).distinct()
+    return changed.join(asked, F.col(key) == F.col("_a"), "left").withColumn("refused", F.col("_locked") & F.col("_a").isNotNull()).drop("_a", "_locked")
+
+
 def validated(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """df with `violations`: names of the checks that a row doesn't pass; a null check passes, as in SQL."""
     return df.withColumn("violations", F.filter(F.array(*[F.when(~F.coalesce(c, F.lit(True)), F.lit(k)) for k, c in checks.items()]), lambda x: x.isNotNull()))

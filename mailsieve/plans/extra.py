@@ -10,9 +10,10 @@ from ..functions import attachments, scores, text
 from ..operators import calibration, models
 from ..operators import relational as r
 from ..registry import query
-from ..session import shared_folder, table
+from ..session import shared_folder, table, views
 from ..sources import kafka, sinks
-from .relational import frame, on, sql
+from .projection import with_ctes
+from .relational import GROWN, STATE, frame, on, sql
 from .scoring import CH
 
 J = "judged"
@@ -71,7 +72,14 @@ def s21(spark: SparkSession, d: str) -> DataFrame:
 
 
 sql("S22_enrichment_join", "SELECT p.page_id, t.asn, t.risk_score FROM pages p LEFT JOIN threats t ON t.id = p.page_id AND t.online")
-on("F86_char_noise", "SELECT doc_id, length(text) AS n FROM documents")(lambda spark, d: table(spark, d, "documents").select("doc_id", F.length(F.translate("text", "oe", "03")).alias("n")))
+LOOKALIKE = {"a": "@", "e": "3", "i": "1", "o": "0", "s": "$", "t": "7"}
+
+
+@query("F86_char_noise")
+def f86(spark: SparkSession, d: str) -> DataFrame:
+    """Every tenth character or so, by a seeded hash of its place, as its look-alike, twice, left out or swapped for a blank."""
+    t = table(spark, d, "documents").select("doc_id", text.char_noise(F.col("text"), F.col("doc_id"), 10, LOOKALIKE).alias("noisy"))
+    return t
 
 
 # streams as folds over batches
@@ -95,9 +103,22 @@ def x14(spark: SparkSession, d: str) -> DataFrame:
     return marked.where("n > 1").select("event_id", F.lit("duplicate").alias("status")).unionByName(first)
 
 
-sql("X16_campaign_state", "SELECT campaign_id, count(*) AS n, min(fetched_at) AS first_seen, max(fetched_at) AS last_seen FROM emails GROUP BY campaign_id")
+@on("X16_campaign_state", f"{GROWN} SELECT id, max(n) AS n, max_by(mean, k) AS mean FROM m GROUP BY id")
+def x16(spark: SparkSession, d: str) -> DataFrame:
+    views(spark, d)
+    e = frame(spark, d, "emails").withColumnRenamed("campaign_id", "id").withColumnRenamed("risk_score", "v")
+    return r.campaign_upsert(spark.sql(with_ctes(STATE)), e, "id", "v", ["fetched_at", "internal_id"]).select("id", F.col("email_count").alias("n"), F.col("risk_score").alias("mean"))
+
+
 sql("X05_timed_out", "SELECT user_id, date_trunc('day', ts) AS day, count(DISTINCT event_type) AS got FROM events GROUP BY user_id, date_trunc('day', ts) HAVING count(DISTINCT event_type) < 5 AND bool_or(event_type = 'signup')")
-sql("X18_replay", "SELECT id, score FROM verdicts WHERE entity_type = 'view' UNION SELECT id, score FROM verdicts WHERE entity_type = 'view'")
+@on("X18_replay", "SELECT id, score, 1 AS copies FROM verdicts WHERE entity_type = 'view'")
+def x18(spark: SparkSession, d: str) -> DataFrame:
+    """The same batch delivered twice through the append-only log; ids stored before aren't stored again."""
+    log = f"{shared_folder(spark, 'log')}/verdicts"
+    batch = frame(spark, d, "verdicts").where("entity_type = 'view'").select("id", "score")
+    for delivery in range(2):
+        sinks.append_unseen(log, ["id"])(batch, delivery)
+    return spark.read.parquet(log).groupBy("id", "score").agg(F.count("*").cast("int").alias("copies"))
 
 
 # models

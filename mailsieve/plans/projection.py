@@ -16,8 +16,8 @@ CTES = {
         CASE WHEN page_id % 4 = 0 THEN NULL ELSE page_id % 4 = 1 END AS online, (page_id * 37) % 101 AS risk_score, page_id % 17 = 0 AS is_deleted FROM pages""",
     "campaigns": "SELECT DISTINCT user_id AS id, user_id % 5 AS org_id, concat('campaign ', CAST(user_id AS VARCHAR(20))) AS name FROM events WHERE user_id % 9 <> 0",
     "feeds": "SELECT n_nationkey AS id, n_name AS name, n_nationkey % 3 AS reliability, n_nationkey % 4 <> 0 AS enabled FROM nation WHERE n_nationkey < 8",
-    "rules": "SELECT p_partkey AS id, p_name AS name, p_brand AS version, CASE WHEN p_size % 3 = 0 THEN 'archived' ELSE 'active' END AS status, p_size AS score_impact FROM part WHERE p_partkey <= 200",
-    "rule_hits": "SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS rule_id, l_shipdate AS fired_at, CAST(l_quantity AS BIGINT) AS score_impact FROM lineitem WHERE l_partkey <= 400",
+    "rules": "SELECT p_partkey AS id, p_name AS name, p_brand AS version, CASE WHEN p_size % 3 = 0 THEN 'archived' ELSE 'active' END AS status, p_size AS score_impact FROM part",
+    "rule_hits": "SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS rule_id, l_shipdate AS fired_at, CAST(l_quantity AS BIGINT) AS score_impact FROM lineitem",
     "verdicts": "SELECT event_id AS id, user_id AS entity_id, event_type AS entity_type, ts AS created_at, CAST(floor(value) AS BIGINT) % 101 AS score FROM events",
     "scored": """SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE CAST(l_quantity * 2 AS INT) END AS url_score,
         CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE CAST(round(l_discount * 1000) AS INT) END AS header_score,

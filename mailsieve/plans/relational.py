@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import relational as r
 from ..registry import query
 from ..session import table as frame_table
-from ..session import views
+from ..session import shared_folder, views
 from .projection import CTES, with_ctes
 
 
@@ -326,8 +327,7 @@ def t04(spark, d):
 
 @on("T05_riskiest_url", "SELECT DISTINCT ON (org_id) org_id, url FROM threats WHERE url <> '' ORDER BY org_id, risk_score DESC, id")
 def t05(spark, d):
-    t = frame(spark, d, "threats").where("url <> ''").groupBy("org_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("risk_score")).alias("neg"), "id", "url"))).alias("x"))
-    return t.select("org_id", F.get("x", 0)["url"].alias("url"))
+    return frame(spark, d, "threats").where("url <> ''").groupBy("org_id").agg(F.max_by("url", F.struct("risk_score", -F.col("id"))).alias("url"))
 
 
 sql("T06_distinct_sorted", "SELECT DISTINCT org_id, event_type FROM emails ORDER BY org_id, event_type")
@@ -393,11 +393,56 @@ def u09(spark, d):
     return r.insert_missing(spark.sql(OLD_TI).select(*cols), spark.sql(NEW_TI).select(*cols), ["id"])
 
 
-sql("U10_campaign_upsert", "SELECT campaign_id, min(fetched_at) AS first_seen, max(fetched_at) AS last_seen, count(*) AS emails, min(fetched_at) >= TIMESTAMP '2024-01-02 00:00:00' AS is_new FROM emails GROUP BY campaign_id")
-sql("U11_touch", "SELECT t.id, greatest(t.risk_score, t.risk_score) AS risk, e.last_seen FROM threats t LEFT JOIN (SELECT campaign_id, max(fetched_at) AS last_seen FROM emails GROUP BY campaign_id) e ON e.campaign_id = t.id")
-sql("U12_partial_update", "SELECT t.id, COALESCE(CASE WHEN t.id % 2 = 0 THEN 'x' END, t.threat_type) AS threat_type, COALESCE(CASE WHEN t.id % 3 = 0 THEN 7 END, t.asn) AS asn FROM threats t WHERE NOT t.is_global")
-sql("U13_enrichment_ttl", "SELECT id, created_at, created_at + INTERVAL '7' DAY AS expires_at, created_at + INTERVAL '7' DAY > TIMESTAMP '2024-01-30 00:00:00' AS fresh FROM verdicts")
-sql("U14_score_writeback", "SELECT e.internal_id, COALESCE(v.score, e.risk_score) AS risk_score FROM emails e LEFT JOIN verdicts v ON v.id = e.internal_id AND v.entity_type = 'click'")
+STATE = "SELECT DISTINCT campaign_id AS id, CAST(campaign_id % 80 AS BIGINT) AS risk_score, CAST(campaign_id % 4 + 1 AS BIGINT) AS email_count FROM emails WHERE campaign_id % 3 <> 0"
+GROWN = f"""WITH RECURSIVE s AS ({STATE}), o AS (SELECT campaign_id AS id, risk_score AS v, row_number() OVER (PARTITION BY campaign_id ORDER BY fetched_at, internal_id) AS k FROM emails),
+    m(id, k, mean, n) AS (SELECT c.id, CAST(0 AS BIGINT), coalesce(s.risk_score, 0), coalesce(s.email_count, 0) FROM (SELECT id FROM s UNION SELECT id FROM o) c LEFT JOIN s ON s.id = c.id
+    UNION ALL SELECT o.id, o.k, CAST(floor((m.mean * m.n + o.v) / CAST(m.n + 1 AS DOUBLE) + 0.5) AS BIGINT), m.n + 1 FROM m JOIN o ON o.id = m.id AND o.k = m.k + 1)"""
+
+
+@on("U10_campaign_upsert", f"{GROWN} SELECT m.id, s.id IS NULL AS is_new, max_by(m.mean, m.k) AS risk_score, max(m.n) AS email_count FROM m LEFT JOIN s ON s.id = m.id GROUP BY m.id, s.id")
+def u10(spark, d):
+    views(spark, d)
+    return r.campaign_upsert(spark.sql(with_ctes(STATE)), frame(spark, d, "emails").withColumnRenamed("campaign_id", "id").withColumnRenamed("risk_score", "v"), "id", "v", ["fetched_at", "internal_id"])
+
+
+SIGHTS = "SELECT campaign_id AS id, max(fetched_at) AS last_seen FROM emails GROUP BY campaign_id"
+SEEN = "SELECT id, risk_score, TIMESTAMP '2023-12-01 00:00:00' AS last_seen FROM threats"
+
+
+@on("U11_touch", f"SELECT COALESCE(o.id, n.id) AS id, o.risk_score, COALESCE(n.last_seen, o.last_seen) AS last_seen FROM ({SEEN}) o FULL JOIN ({SIGHTS}) n ON o.id = n.id")
+def u11(spark, d):
+    views(spark, d)
+    return r.upsert(spark.sql(with_ctes(SEEN)), spark.sql(with_ctes(SIGHTS)), ["id"], {"last_seen": lambda o, n: n}).drop("action")
+
+
+CHANGES = "SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN p_type END AS threat_type, CASE WHEN p_size % 3 = 0 THEN p_size END AS asn, CASE WHEN p_size % 5 = 0 THEN p_size % 6 END AS feed_id, CASE WHEN p_size % 7 = 0 THEN TRUE END AS online, CASE WHEN p_size % 4 = 0 THEN p_size END AS risk_score FROM part"
+CHANGED = ["threat_type", "asn", "feed_id", "online", "risk_score"]
+
+
+@on("U12_partial_update", "SELECT t.id, t.url, t.is_global, " + ", ".join(f"CASE WHEN t.is_global THEN t.{c} ELSE COALESCE(n.{c}, t.{c}) END AS {c}" for c in CHANGED) + f" FROM threats t LEFT JOIN ({CHANGES}) n ON n.id = t.id")
+def u12(spark, d):
+    t = frame(spark, d, "threats").select("id", "url", "is_global", *CHANGED)
+    return r.partial_update(t, spark.sql(CHANGES), "id", ~F.col("is_global"))
+
+
+OLD_RESULT, NEW_RESULT = ("SELECT id, score, created_at FROM (SELECT entity_id AS id, max(score) AS score, max(created_at) AS created_at FROM verdicts WHERE entity_type = '{}' GROUP BY entity_id) x".format(k) for k in ("view", "click"))
+
+
+@on("U13_enrichment_ttl", f"SELECT COALESCE(o.id, n.id) AS id, COALESCE(n.score, o.score) AS score, COALESCE(n.created_at, o.created_at) + INTERVAL '7' DAY AS expires_at FROM ({OLD_RESULT}) o FULL JOIN ({NEW_RESULT}) n ON o.id = n.id")
+def u13(spark, d):
+    views(spark, d)
+    kept = lambda q: spark.sql(with_ctes(q)).select("id", "score", (F.col("created_at") + F.expr("INTERVAL '7' DAY")).alias("expires_at"))
+    return r.upsert(kept(OLD_RESULT), kept(NEW_RESULT), ["id"], {"score": lambda o, n: n, "expires_at": lambda o, n: n}).drop("action")
+
+
+DETAILS = "SELECT internal_id AS id, risk_score, CASE WHEN internal_id % 4 = 0 THEN NULL ELSE concat('{\"old\":', CAST(internal_id AS VARCHAR(20)), '}') END AS details FROM emails"
+SCORES = "SELECT id, score AS risk_score, CASE WHEN score % 2 = 0 THEN concat('{\"score\":', CAST(score AS VARCHAR(20)), '}') END AS details FROM verdicts WHERE entity_type = 'click'"
+
+
+@on("U14_score_writeback", f"SELECT o.id, COALESCE(n.risk_score, o.risk_score) AS risk_score, COALESCE(n.details, o.details) AS details FROM ({DETAILS}) o LEFT JOIN ({SCORES}) n ON n.id = o.id")
+def u14(spark, d):
+    views(spark, d)
+    return r.partial_update(spark.sql(with_ctes(DETAILS)), spark.sql(with_ctes(SCORES)), "id")
 
 
 @on("U15_append_verdicts", "SELECT id, score FROM (SELECT id, score FROM verdicts WHERE entity_type = 'view' UNION ALL SELECT id, score FROM verdicts v WHERE v.entity_type IN ('view', 'click') AND v.id NOT IN (SELECT id FROM verdicts WHERE entity_type = 'view'))")
@@ -418,11 +463,52 @@ def u17(spark, d):
     return frame_table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("winner"), (F.count("*") - 1).alias("orphans"))
 
 
-sql("U18_cascade_delete", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
-sql("U19_label_denorm", "SELECT e.internal_id, v.score AS latest FROM emails e LEFT JOIN (SELECT entity_id, max(created_at) AS at, max(score) AS score FROM verdicts GROUP BY entity_id) v ON v.entity_id = e.campaign_id")
+KINDS = ["click", "error", "purchase", "signup", "view"]
+
+
+@on("U18_cascade_delete", "SELECT v.entity_type AS child, v.id FROM verdicts v WHERE v.entity_type IN ('click', 'error', 'purchase', 'signup', 'view') AND NOT EXISTS (SELECT 1 FROM threats t WHERE t.is_deleted AND t.id = v.entity_id)")
+def u18(spark, d):
+    v, gone = frame(spark, d, "verdicts"), frame(spark, d, "threats").where("is_deleted").select(F.col("id").alias("entity_id"))
+    left = r.cascade_delete({k: v.where(F.col("entity_type") == k) for k in KINDS}, gone, "entity_id")
+    return reduce(DataFrame.union, [df.select(F.lit(k).alias("child"), "id") for k, df in left.items()])
+
+
+@on("U19_label_denorm", "SELECT e.internal_id, v.score AS latest FROM emails e LEFT JOIN (SELECT DISTINCT ON (entity_id) entity_id, score FROM verdicts ORDER BY entity_id, created_at DESC, id DESC) v ON v.entity_id = e.campaign_id")
+def u19(spark, d):
+    last = frame(spark, d, "verdicts").groupBy("entity_id").agg(F.max_by("score", F.struct("created_at", "id")).alias("latest"))
+    e = frame(spark, d, "emails").select("internal_id", "campaign_id")
+    return e.join(last, e["campaign_id"] == last["entity_id"], "left").select("internal_id", "latest")
+
+
 sql("U20_type_normalised", "SELECT DISTINCT lower(p_type) AS t FROM part WHERE lower(p_type) NOT IN (SELECT lower(r_name) FROM region)")
 sql("U21_sent_at", "SELECT event_id, TIMESTAMP '1970-01-01 00:00:00' + INTERVAL '1' DAY * (event_id % 20000) AS sent_at FROM events")
-sql("U22_immutable_rules", "SELECT x.id, x.id IN (SELECT rule_id FROM rule_hits) AS locked FROM rules x")
-sql("U23_revoke_keys", "SELECT o.o_orderkey AS key_id, c.c_acctbal < 0 AS revoked FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey")
-sql("U24_archive_partitions", "SELECT date_trunc('month', o_orderdate) AS month, count(*) AS n, date_trunc('month', o_orderdate) < TIMESTAMP '1995-01-01 00:00:00' AS archived FROM orders GROUP BY 1")
+RENAMED = "SELECT id, concat(name, ' v2') AS name FROM rules WHERE id % 2 = 0"
+
+
+@on("U22_immutable_rules", f"SELECT x.id, CASE WHEN h.rule_id IS NULL THEN COALESCE(n.name, x.name) ELSE x.name END AS name, h.rule_id IS NOT NULL AND n.id IS NOT NULL AS refused FROM rules x LEFT JOIN (SELECT DISTINCT rule_id FROM rule_hits WHERE score_impact > 45) h ON h.rule_id = x.id LEFT JOIN ({RENAMED}) n ON n.id = x.id")
+def u22(spark, d):
+    x, hits = frame(spark, d, "rules").select("id", "name"), frame(spark, d, "rule_hits").where("score_impact > 45").select(F.col("rule_id").alias("id"))
+    return r.refuse_locked(x, spark.sql(with_ctes(RENAMED)), hits, "id")
+
+
+@on("U23_revoke_keys", "SELECT o.o_orderkey AS key_id, CASE WHEN o.o_orderkey % 7 = 0 THEN TIMESTAMP '2023-06-01 00:00:00' WHEN c.c_custkey IS NOT NULL THEN TIMESTAMP '2024-01-30 00:00:00' END AS revoked_at FROM orders o LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) c ON c.c_custkey = o.o_custkey")
+def u23(spark, d):
+    """Keys of users that are gone are revoked now; a key revoked before keeps its time."""
+    keys = frame_table(spark, d, "orders").select(F.col("o_orderkey").alias("key_id"), F.col("o_custkey").alias("user_id"), F.when(F.col("o_orderkey") % 7 == 0, F.lit("2023-06-01 00:00:00").cast("timestamp_ntz")).alias("before"))
+    gone = frame_table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("user_id"), F.lit("2024-01-30 00:00:00").cast("timestamp_ntz").alias("now"))
+    return keys.join(gone, "user_id", "left").select("key_id", F.coalesce("before", "now").alias("revoked_at"))
+
+
+@on("U24_archive_partitions", "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, CASE WHEN strftime(o_orderdate, '%Y-%m') < '1995-01' THEN 'archive' ELSE 'live' END AS place FROM orders GROUP BY ALL")
+def u24(spark, d):
+    """Orders written by month, the months before the cutoff apart; counted where they are now."""
+    folder = shared_folder(spark, "partitions")
+    months = frame_table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    old = F.col("month") < "1995-01"
+    for place, rows in {"archive": months.where(old), "live": months.where(~old)}.items():
+        rows.repartition("month").write.partitionBy("month").parquet(f"{folder}/{place}")
+    count = lambda p: spark.read.schema("o_orderkey long, month string").parquet(f"{folder}/{p}").groupBy("month").agg(F.count("*").alias("n")).withColumn("place", F.lit(p))
+    return count("archive").union(count("live"))
+
+
 sql("U25_data_move", "SELECT id, CASE WHEN url LIKE 'https%' THEN 'url' ELSE 'domain' END AS kind, url AS value, risk_score FROM threats WHERE NOT is_deleted")

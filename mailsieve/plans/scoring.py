@@ -12,7 +12,7 @@ from ..functions import scores, urls
 from ..operators import evaluation as ev
 from ..operators import metrics, rules, similarity
 from ..registry import query
-from ..session import table
+from ..session import shared_folder, table
 from .relational import frame, on, sql
 from .scalars import H, literals, values
 
@@ -158,14 +158,11 @@ def j15(spark, d):
 literals("J16_brand_typosquat", "domain string", [("paypa1.com",), ("secure-paypla.com",), ("paypal.com",), ("www.gogle.com",), ("nothing-like.io",)], "SELECT * FROM (VALUES ('paypa1.com', 'paypal.com', 1), ('secure-paypla.com', 'paypal.com', 1), ('paypal.com', NULL, 0), ('www.gogle.com', 'google.com', 1), ('nothing-like.io', NULL, 0)) t(domain, target, distance)", lambda df: similarity.brand_typosquat(df))
 on("J17_min_brand_distance", f"SELECT n_nationkey, list_min(list_transform([{', '.join(repr(b) for b in urls.BRAND_SUBSTRINGS)}], lambda b: levenshtein(lower(n_name), b))) AS brand_distance FROM nation")(lambda spark, d: similarity.min_brand_distance(table(spark, d, "nation").select("n_nationkey", F.lower("n_name").alias("l")), "l", urls.BRAND_SUBSTRINGS).drop("l"))
 literals("J18_brand_substring", "id int, h string", [(1, "paypal-security.verify.com"), (2, "www.chase-apple.net"), (3, "cdn.x.io")], "SELECT * FROM (VALUES (1, 'paypal'), (2, 'apple'), (3, NULL)) t(id, b)", lambda df: df.select("id", urls.subdomain_brand(F.col("h")).alias("b")))
-HASHES = "SELECT o_orderkey AS id, o_custkey % 5 AS org, (o_orderkey * 2654435761) % 4096 AS h FROM orders WHERE o_orderkey < 2000"
-
-
-@on("J19_simhash_pairs", f"WITH x AS ({HASHES}) SELECT a.org, a.id AS a, b.id AS b, CAST(bit_count(xor(a.h, b.h)) AS INT) AS distance FROM x a JOIN x b ON a.org = b.org AND a.id < b.id WHERE bit_count(xor(a.h, b.h)) <= 3")
+@query("J19_simhash_pairs")
 def j19(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey < 2000")
-    h = F.pmod(F.col("o_orderkey") * 2654435761, F.lit(4096))
-    return similarity.simhash_pairs(o.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 5).alias("org"), h.alias("h")), "id", "org", "h")
+    """Orders whose 64-bit hashes, one of the customer's with one bit changed, are near each other."""
+    h = F.xxhash64("o_custkey").bitwiseXOR(F.expr("shiftleft(1L, cast(o_orderkey % 64 AS int))"))
+    return similarity.simhash_pairs(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 5).alias("org"), h.alias("h")), "id", "org", "h")
 
 
 query("J19b_simhash_documents")(lambda spark, d: _simhash_docs(spark, d))
@@ -174,7 +171,9 @@ query("J19b_simhash_documents")(lambda spark, d: _simhash_docs(spark, d))
 def _simhash_docs(spark: SparkSession, d: str) -> DataFrame:
     from ..functions.distance import simhash_text
 
-    docs = table(spark, d, "documents").select("doc_id", "source", simhash_text(F.lower(F.trim("text"))).alias("h"))
+    folder = shared_folder(spark, "simhash")  # hashed once, read twice
+    table(spark, d, "documents").select("doc_id", "source", simhash_text(F.lower(F.trim("text"))).alias("h")).write.parquet(folder)
+    docs = spark.read.parquet(folder)
     return similarity.simhash_pairs(docs, "doc_id", "source", "h")
 
 
@@ -215,8 +214,21 @@ SHARE = "CAST(CAST('0x' || substr(md5('7:' || {c}), 1, 8) AS BIGINT) AS DOUBLE)
 on("M10_stratified_split", "SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5('7:' || doc_id), doc_id) <= floor(0.6 * count(*) OVER (PARTITION BY lang)) AS is_train FROM documents")(lambda spark, d: ev.stratified_split(table(spark, d, "documents"), "doc_id", "lang", 0.6, 7).select("doc_id", "is_train"))
 on("M11_group_split", f"SELECT page_id, CASE WHEN s < 0.7 THEN 'train' WHEN s < 0.85 THEN 'valid' ELSE 'test' END AS split FROM (SELECT page_id, {SHARE.format(c=H)} AS s FROM pages)")(lambda spark, d: ev.group_split(table(spark, d, "pages").select("page_id", urls.host(F.col("url")).alias("h")), "h", {"train": 0.7, "valid": 0.15, "test": 0.15}, 7).select("page_id", "split"))
 on("M12_group_folds", f"SELECT doc_id, CAST(floor({SHARE.format(c='source')} * 5) AS INT) AS fold FROM documents")(lambda spark, d: table(spark, d, "documents").select("doc_id", F.floor(ev.hash_share(F.lit("7"), F.col("source")) * 5).cast("int").alias("fold")))
-sql("M13_out_of_fold", "SELECT a.source, round(avg(b.score), 4) AS others FROM (SELECT DISTINCT source FROM judged) a JOIN (SELECT source, sum(score) AS s, count(*) AS n, avg(score) AS score FROM judged GROUP BY source) b ON a.source <> b.source GROUP BY a.source")
-sql("M14_provenance_holdout", "SELECT doc_id, lang = 'en' AS is_train FROM documents")
+FOLD = f"CAST(floor({SHARE.format(c='source')} * 5) AS INT)"
+
+
+@on("M13_out_of_fold", f"""WITH j AS (SELECT doc_id, source, positive, CAST(floor(score / 10) AS INT) AS bin, {FOLD} AS fold FROM judged), c AS (SELECT fold, bin, count(*) FILTER (WHERE positive) AS p, count(*) AS n FROM j GROUP BY fold, bin),
+    t AS (SELECT bin, sum(p) AS p, sum(n) AS n FROM c GROUP BY bin), a AS (SELECT sum(p) AS p, sum(n) AS n FROM c), f AS (SELECT fold, sum(p) AS p, sum(n) AS n FROM c GROUP BY fold)
+    SELECT j.doc_id, j.fold, round((t.p - c.p + CAST(a.p - f.p AS DOUBLE) / (a.n - f.n)) / (t.n - c.n + 1), 6) AS out_of_fold FROM j JOIN c USING (fold, bin) JOIN t USING (bin) JOIN f USING (fold), a""")
+def m13(spark, d):
+    """Each document scored by a table of rates that no document of its source's fold entered."""
+    j = frame(spark, d, "judged").select("doc_id", "positive", F.floor(F.col("score") / 10).cast("int").alias("bin"), F.floor(ev.hash_share(F.lit("7"), F.col("source")) * 5).cast("int").alias("fold"))
+    return ev.out_of_fold(j, "fold", "bin", "positive").select("doc_id", "fold", F.round("out_of_fold", 6).alias("out_of_fold"))
+
+
+on("M14_provenance_holdout", "SELECT source, count(*) AS n, count(*) FILTER (WHERE positive) AS positives, count(*) FILTER (WHERE positive AND score >= 50) AS caught FROM judged WHERE lang <> 'en' GROUP BY source")(
+    lambda spark, d: ev.held_out_by(frame(spark, d, "judged"), "lang", ["en"]).where("NOT is_train").groupBy("source").agg(F.count("*").alias("n"), F.count_if("positive").alias("positives"), F.count_if(F.col("positive") & (F.col("score") >= 50)).alias("caught"))
+)
 on("M15_family_sample", "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('7:' || doc_id), doc_id) AS n, count(*) OVER (PARTITION BY source) AS c FROM documents) WHERE n <= least(20, greatest(5, floor(0.3 * c)))")(lambda spark, d: _family(spark, d))
 
 

@@ -52,9 +52,9 @@ def x15(spark: SparkSession, d: str) -> DataFrame:
 COMPONENT = "CASE event_type WHEN 'signup' THEN 'plan' WHEN 'click' THEN 'url' WHEN 'view' THEN 'header' WHEN 'purchase' THEN 'nlp' ELSE 'attachment' END"
 
 
-def _messages(s: DataFrame) -> DataFrame:
+def _messages(s: DataFrame, *more: str) -> DataFrame:
     kind = F.expr(COMPONENT)
-    return s.select((F.col("user_id") % 5).alias("org_id"), F.concat_ws("-", "user_id", F.date_format("ts", "yyyyMMdd")).alias("email_id"), kind.alias("component"), F.floor("value").alias("score"), F.when(kind == "plan", F.lit('["url", "header"]')).alias("payload"), F.lit(False).alias("degraded"))
+    return s.select((F.col("user_id") % 5).alias("org_id"), F.concat_ws("-", "user_id", F.date_format("ts", "yyyyMMdd")).alias("email_id"), kind.alias("component"), F.floor("value").alias("score"), F.when(kind == "plan", F.lit('["url", "header"]')).alias("payload"), F.lit(False).alias("degraded"), *more)
 
 
 @query("X03_aggregator_stream", "SELECT org_id, email_id, 'complete' AS status FROM (SELECT user_id % 5 AS org_id, user_id || '-' || strftime(ts, '%Y%m%d') AS email_id, list(event_type) AS k FROM events GROUP BY 1, 2) WHERE list_contains(k, 'signup') AND list_contains(k, 'click') AND list_contains(k, 'view')")
@@ -62,13 +62,23 @@ def x03(spark: SparkSession, d: str) -> DataFrame:
     return drained(spark, d, "aggregate", lambda s: stateful.aggregated(_messages(s))).where("status = 'complete'").select("org_id", "email_id", "status")
 
 
-@query("X10_packaged_batch")
-def x10(spark: SparkSession, d: str) -> DataFrame:
-    """The same package from a batch: first score of each component, and what is missing."""
-    m = _messages(table(spark, d, "events").orderBy("ts", "event_id")).groupBy("org_id", "email_id").agg(F.collect_set("component").alias("got"), *[F.min(F.when(F.col("component") == c, F.col("score"))).alias(f"{c}_score") for c in ("url", "header", "nlp", "attachment")])
+def packaged_batch(messages: DataFrame, *order: str) -> DataFrame:
+    """The package of each email with a plan from a batch of messages: the first score of each component in the order given, and what is missing."""
+    first = lambda c: F.min_by("score", F.when((F.col("component") == c) & F.col("score").isNotNull(), F.struct(*order))).alias(f"{c}_score")
+    m = messages.groupBy("org_id", "email_id").agg(F.collect_set("component").alias("got"), *map(first, ("url", "header", "nlp", "attachment")))
     return m.where(F.array_contains("got", "plan")).withColumn("missing", F.array_sort(F.array_except(F.array(F.lit("url"), F.lit("header")), "got"))).withColumn("partial", F.size("missing") > 0).drop("got")
 
 
+FIRST = "arg_min(floor(value), (ts, event_id)) FILTER (WHERE component = '{0}')"
+
+
+@query("X10_packaged_batch", f"""SELECT org_id, email_id, {', '.join(f"CAST({FIRST.format(c)} AS BIGINT) AS {c}_score" for c in ('url', 'header', 'nlp', 'attachment'))},
+    list_filter(['header', 'url'], lambda x: NOT list_contains(list(component), x)) AS missing, len(list_filter(['header', 'url'], lambda x: NOT list_contains(list(component), x))) > 0 AS partial
+    FROM (SELECT *, user_id % 5 AS org_id, user_id || '-' || strftime(ts, '%Y%m%d') AS email_id, {COMPONENT} AS component FROM events) t GROUP BY org_id, email_id HAVING list_contains(list(component), 'plan')""")
+def x10(spark: SparkSession, d: str) -> DataFrame:
+    return packaged_batch(_messages(table(spark, d, "events"), "ts", "event_id"), "ts", "event_id")
+
+
 def _file(spark: SparkSession, name: str, text: str) -> str:
     folder = shared_folder(spark, name)
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(folder)

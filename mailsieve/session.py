@@ -54,6 +54,20 @@ def views(spark: SparkSession, sf_dir: str, names: list[str] = TABLES) -> None:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the session's spark.checkpoint.dir, or under a temporary one where that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared")
-    return f"{top}/{name}-{uuid.uuid4().hex}"
+    """A new folder under the session's spark.checkpoint.dir; on one machine, where that may be unset, under a temporary one, which goes with the process."""
+    return f"{shared_top(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_local_top: list[str] = []
+
+
+def shared_top(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. Without it only a local master gets a folder of this machine; on a cluster its workers couldn't share it."""
+    if top := spark.conf.get("spark.checkpoint.dir", None):
+        return top
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _local_top:
+        _local_top.append(tempfile.mkdtemp(prefix="shared"))
+        atexit.register(shutil.rmtree, _local_top[0], True)
+    return _local_top[0]

@@ -3,10 +3,13 @@
 import json
 
 import pytest
+import itertools
+
 from pyspark.sql import functions as F
 
 from mailsieve.functions import distance, scores, text, urls
 from mailsieve.operators import relational as r
+from mailsieve.operators import similarity
 from mailsieve.operators import rules
 from mailsieve.sources import mime, sinks
 from mailsieve.streaming import stateful
@@ -39,12 +42,6 @@ def test_osa_known_vectors():
     assert distance.osa("aaaa", "bbbb", 2) == 3
 
 
-def test_leet_and_spacing():
-    assert text.fold_leet_text("p4ss w0rd 365") == "pass word 365"
-    assert text.join_spaced_text("v e r i f y it, U S A") == "verify it, U S A"
-    assert text.normalize_text("") == ""
-
-
 @pytest.mark.parametrize("logic", ["", "[]", '{"all": []}', '{"signal": "x"}', '{"signal": "x", "op": "like"}', '{"category": "auth"}', "{"])
 def test_bad_rules_are_errors(spark, logic):
     signals = rules.Signals(spark.createDataFrame([(1,)], "x int"), {"x": "x"})
@@ -77,7 +74,7 @@ def test_upsert_null_keys_and_empty(spark):
 
 
 def test_running_mean_rounds_each_step(spark):
-    assert one(spark, "a array<bigint>", ([10, 11, 10],), r.running_mean(F.col("a"))) == 10
+    assert one(spark, "a array<bigint>", ([10, 11, 10],), r.running_mean(F.col("a"))) == 11
     mean, n = 0, 0
     for v in [10, 11, 10, 97, 3]:
         mean, n = int((mean * n + v) / (n + 1) + 0.5), n + 1
@@ -116,3 +113,80 @@ def test_containment_join_equals_nested_loop(spark):
     ranges = spark.createDataFrame([(0, 10), (65530, 131080), (200000, 200000), (250000, 299999)], "low long, high long")
     want = points.join(ranges, F.col("ip").between(F.col("low"), F.col("high"))).count()
     assert r.containment_join(points, ranges, "ip", "low", "high").count() == want
+
+
+def test_text_normalisation(spark):
+    t = F.col("t")
+    for f, cases in {
+        text.fold_leet: {"p4ss w0rd 365": "pass word 365", "a10b 1a a$s p@$$": "a10b 1a ass p@$$", "": ""},
+        text.join_spaced: {"v e r i f y it, U S A": "verify it, U S A", "a b c d": "abcd", "a b c": "a b c", "a\tb c\td e": "abcde", "x a b, c d e f g!": "x a b, cdefg!", "a  b c d": "a  b c d", "é à ü ö": "éàüö", "ab c d e f": "ab cdef", "I a m b o b": "Iambob"},
+        text.normalize: {"": "", "ｖ ｅ ｒ ｉ f y": "verify", " a\u200b\n\u00a0b ": "a b", "p\u0430yp\u0430l l0gin": "paypal login"},
+    }.items():
+        for raw, want in cases.items():
+            assert one(spark, "t string", (raw,), f(t)) == want, (f.__name__, raw)
+    assert one(spark, "t string", (None,), text.normalize(t)) is None
+
+
+def test_simhash_pairs_by_brute_force(spark):
+    import random
+
+    r_ = random.Random(3)
+    base = [r_.getrandbits(64) for _ in range(6)]
+    rows = []
+    for i in range(80):
+        h = r_.choice(base)
+        for _ in range(r_.choice([0, 1, 2, 3, 5])):
+            h ^= 1 << r_.randrange(64)
+        rows.append((i, i % 2, h - (1 << 64) if h >> 63 else h))
+    got = {(x.a, x.b): x.distance for x in similarity.simhash_pairs(spark.createDataFrame(rows, "id long, org int, h long"), "id", "org", "h").collect()}
+    bits = {i: h & (1 << 64) - 1 for i, _, h in rows}
+    assert all(a < b and d == (bits[a] ^ bits[b]).bit_count() <= 3 for (a, b), d in got.items())
+    group = {i: i for i in bits}  # copies are linked with their smallest only, so groups are compared
+
+    def find(x):
+        return x if group[x] == x else find(group[x])
+
+    want = dict(group)
+    for (i, o, _), (j, q, _) in itertools.combinations(rows, 2):
+        if o == q and (bits[i] ^ bits[j]).bit_count() <= 3:
+            if bits[i] != bits[j] and (min(k for k, p, _ in rows if p == o and bits[k] == bits[i]), min(k for k, p, _ in rows if p == o and bits[k] == bits[j])) == (i, j):
+                assert (i, j) in got
+            want[find2(want, max(find2(want, i), find2(want, j)))] = min(find2(want, i), find2(want, j))
+    for a, b in got:
+        group[max(find(a), find(b))] = min(find(a), find(b))
+    assert {i: find(i) for i in group} == {i: find2(want, i) for i in want}
+
+
+def find2(group, x):
+    return x if group[x] == x else find2(group, group[x])
+
+
+def test_packaged_batch_takes_first_scores(spark):
+    from mailsieve.plans.streams import packaged_batch
+
+    rows = [(1, "e", "plan", None, 1), (1, "e", "url", 9, 2), (1, "e", "url", 3, 3), (1, "f", "url", 5, 1), (2, "g", "plan", None, 4), (2, "g", "header", 7, 2), (2, "g", "url", 1, 9)]
+    got = {x.email_id: (x.url_score, x.header_score, x.missing, x.partial) for x in packaged_batch(spark.createDataFrame(rows, "org_id int, email_id string, component string, score int, at int"), "at").collect()}
+    assert got == {"e": (9, None, ["header"], True), "g": (1, 7, [], False)}
+
+
+def test_campaign_upsert(spark):
+    old = spark.createDataFrame([(1, 50, 3), (2, 10, 1)], "id int, risk_score int, email_count int")
+    new = spark.createDataFrame([(1, 1, 90), (1, 2, 10), (3, 1, 7), (3, 2, 8)], "id int, at int, risk int")
+    got = {x.id: (x.is_new, x.risk_score, x.email_count) for x in r.campaign_upsert(old, new, "id", "risk", ["at"]).collect()}
+    assert got == {1: (False, 50, 5), 2: (False, 10, 1), 3: (True, 8, 2)}
+
+
+def test_char_noise(spark):
+    raw = "plain text with some letters " * 20
+    noisy = lambda seed: one(spark, "t string", (raw,), text.char_noise(F.col("t"), F.lit(seed), 10, {"e": "3"}))
+    assert noisy(1) == noisy(1) != noisy(2)
+    assert 5 <= noisy(1).count("3") <= 40 and 0.9 * len(raw) < len(noisy(1)) < 1.1 * len(raw)
+    assert one(spark, "t string", (None,), text.char_noise(F.col("t"), F.lit(1), 10, {"e": "3"})) is None
+
+
+def test_locked_rows_and_cascades(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "id int, name string")
+    changes, used = spark.createDataFrame([(1, "x"), (2, "y")], "id int, name string"), spark.createDataFrame([(2,), (2,), (None,)], "id int")
+    assert {(x.id, x.name, x.refused) for x in r.refuse_locked(rows, changes, used, "id").collect()} == {(1, "x", False), (2, "b", True), (None, "c", False)}
+    left = r.cascade_delete({"names": rows, "changes": changes}, used, "id")
+    assert {x.id for x in left["names"].collect()} == {1, None} and {x.id for x in left["changes"].collect()} == {1}

@@ -19,7 +19,9 @@ def test_query(spark, sf_dir, con, name):
     if name in registry.oracle_sql():
         assert not differs(frame, con, registry.oracle_sql()[name])
     else:
-        assert frame.columns and frame.count() >= 0
+        rows = frame.limit(1000).collect()
+        assert rows or name == "X17_simhash_index"  # turns of these conversations are no near copies; its pairs are tested by brute force
+        assert rows == [] or any(v is not None for v in rows[0])
 
 
 def test_entry_runs(spark):

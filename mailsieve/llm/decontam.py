@@ -5,15 +5,18 @@
    distributed randomised SVD: partial products of the passages with a small basis are summed, made orthogonal, and again.
 3. Every window of every document is compared with the benchmark passages of its length by cosine in that space. Windows that
    can't hold a leak aren't projected: a leak has PARAPHRASE of an item's words, so of its rarest words (the share that may
-   be missing and NEED more) at least NEED must stand near each other.
+   be missing and NEED more) at least NEED must stand near each other. So a count of rare words decides which windows
+   the latent space is asked about; it follows from the last step's bounds and rules out nothing that this would accept.
 4. A candidate is a leak if the longest common subsequence of the item and the place covers nearly all of the item, or a
    smaller part of it together with the item's answer (its last sentence): a paraphrase.
 
-The benchmark is the query set, taken in blocks of BLOCK items, so what is broadcast is bounded. Documents aren't shuffled.
+The benchmark is the query set, taken in blocks of BLOCK items, of which PASS are searched for in one pass over the documents, so
+what is broadcast is bounded. Documents aren't shuffled.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from . import vec
 from .storage import bounded_arrow, saved
 
-BLOCK = 1000
+BLOCK, PASS = 1000, 4
 #: Windows step by STRIDE words; they and the benchmark's passages are of these lengths.
 STRIDE, LENGTHS = 8, (16, 32, 64)
 RANK, OVERSAMPLE, ITERATIONS = 256, 16, 3
@@ -176,7 +179,9 @@ def _fit(docs: DataFrame, items: list[Item], rank: int, sample_docs: int, cosine
             mine.append((np.searchsorted(vocab, part), len(part)))
             length.append(size)
             of.append(i)
-    some = text.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample_docs / max(n, 1))))
+    # by row, not by text, so that copies of one text don't come all together
+    row = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(1 << 30))
+    some = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull() & (row < int((1 << 30) * min(1.0, sample_docs / max(n, 1))))).select("text")
     sample = saved(some.repartition(SAMPLE_PARTS).mapInArrow(_sampler(shared), "at array<long>, n long"))
     r = min(rank + OVERSAMPLE, len(vocab))
     q = np.linalg.qr(np.random.default_rng(5).standard_normal((len(vocab), r)))[0]
@@ -291,6 +296,13 @@ def found(m: Model, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, f
     return out
 
 
+def _passes(*args) -> Iterator[list]:
+    """The models of all blocks, PASS at a time."""
+    models = _models(*args)
+    while some := list(itertools.islice(models, PASS)):
+        yield some
+
+
 def _models(docs: DataFrame, benchmark: DataFrame, rank: int, sample_docs: int, cosine: float) -> Iterator:
     spark = docs.sparkSession
     bounded_arrow(spark)
@@ -304,15 +316,16 @@ def _models(docs: DataFrame, benchmark: DataFrame, rank: int, sample_docs: int,
             yield spark.sparkContext.broadcast(_fit(docs, some, rank, sample_docs, cosine))
 
 
-def _searcher(model):
+def _searcher(models: list):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
         for whole in batches:
             for batch in vec.slices(whole, "text"):
-                rows = found(m, *vec.buffer(batch.column(0)))
-                ids = batch.column(1).take(pa.array([r[0] for r in rows], pa.int64()))
-                cols = list(zip(*rows, strict=True)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([ids, pa.array([m.items[i].item_id for i in cols[1]], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[2:5]), pa.array(cols[5], pa.int64())], names=["doc_id", "item_id", "cosine", "lcs_share", "answer_share", "first_word"])
+                for model in models:
+                    m = model.value
+                    rows = found(m, *vec.buffer(batch.column(0)))
+                    ids = batch.column(1).take(pa.array([r[0] for r in rows], pa.int64()))
+                    cols = list(zip(*rows, strict=True)) or [()] * 6
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([m.items[i].item_id for i in cols[1]], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[2:5]), pa.array(cols[5], pa.int64())], names=["doc_id", "item_id", "cosine", "lcs_share", "answer_share", "first_word"])
 
     return search
 
@@ -326,25 +339,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, sample_docs:
     schema = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double, first_word long"
     rows = docs.select(F.col("text").cast("string"), F.col("doc_id").cast("long"))
     out = docs.sparkSession.createDataFrame([], schema)
-    for model in _models(docs, benchmark, rank, sample_docs, cosine):
-        out = out.union(rows.mapInArrow(_searcher(model), schema))
+    for models in _passes(docs, benchmark, rank, sample_docs, cosine):
+        out = out.union(rows.mapInArrow(_searcher(models), schema))
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of docs in which no benchmark item is found, all columns as they were."""
 
-    def keeper(model, at):
+    def keeper(models, at):
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for batch in vec.slices(whole, "text"):
-                    hit = {r[0] for r in found(model.value, *vec.buffer(batch.column(at).cast(pa.string())))}
+                    hit = {r[0] for model in models for r in found(model.value, *vec.buffer(batch.column(at).cast(pa.string())))}
                     yield batch.filter(pa.array([i not in hit for i in range(len(batch))]))
 
         return keep
 
     how = {"rank": RANK, "sample_docs": SAMPLE_DOCS, "cosine": MIN_COSINE} | how
     out = docs
-    for model in _models(docs, benchmark, **how):
-        out = out.mapInArrow(keeper(model, docs.columns.index("text")), docs.schema)
+    for models in _passes(docs, benchmark, how["rank"], how["sample_docs"], how["cosine"]):
+        out = out.mapInArrow(keeper(models, docs.columns.index("text")), docs.schema)
     return out

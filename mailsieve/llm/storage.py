@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import shared_top, ship
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir. Only where that is unset (tests on one machine) a temporary folder is made."""
+    """The session's checkpoint folder; where none is set yet, spark.checkpoint.dir (see shared_top)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+        sc.setCheckpointDir(shared_top(spark))
     return sc.getCheckpointDir()
 
 

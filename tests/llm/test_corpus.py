@@ -230,6 +230,26 @@ def test_leaks_of_a_full_block_of_long_items(spark):
     assert {(x.doc_id, x.item_id) for x in got} == set(enumerate([*picked, *picked]))
 
 
+def test_leaks_by_brute_force(spark, leaky, monkeypatch):
+    """All places whose common subsequence and answer make a leak, without rare words or a latent space; and blocks of a few items give the same."""
+    docs, bench, _ = leaky
+    items = bench.orderBy("item_id").collect()
+    words, answers = decontam.hashed([x.text for x in items]), decontam.hashed([decontam.answer_of(x.text) for x in items])
+    want = set()
+    for d in docs.collect():
+        (text,) = decontam.hashed([d.text])
+        for x, w, a in zip(items, words, answers, strict=True):
+            for at in range(0, max(1, len(text) - len(w) // 2), decontam.STRIDE):
+                part = text[max(0, at - len(w) // 4) : at + len(w) + len(w) // 4]
+                share = decontam.lcs(w, part) / len(w)
+                if share >= decontam.VERBATIM or (share >= decontam.PARAPHRASE and decontam.lcs(a, part) / len(a) >= decontam.ANSWER):
+                    want.add((d.doc_id, x.item_id))
+    got = {(x.doc_id, x.item_id) for x in decontam.leaks(docs, bench).collect()}
+    assert len(want & got) >= 0.98 * len(want) and len(got - want) <= 0.02 * len(want)
+    monkeypatch.setattr(decontam, "BLOCK", 5)
+    assert {(x.doc_id, x.item_id) for x in decontam.leaks(docs, bench).collect()} == got
+
+
 def test_lcs():
     def slow(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

@@ -46,7 +46,8 @@ SHARED_DISCOUNT = 0.75
 BITS = 1 << 26
 #: Expressions are in the table from this log-likelihood ratio on; weaker ones count as this.
 LEAST_RATIO = 1.0
-DISCOUNT = 0.9
+#: A class loses one text of each count, so an expression of a single text is left to the shared counts at every size of the input.
+DISCOUNT = 1.0
 EVIDENCE = ["per_symbol", "strongest", "expression"]
 CURVE = EVIDENCE[1:]
 
@@ -231,8 +232,10 @@ def expressions(rows: DataFrame, least: float = LEAST_RATIO) -> DataFrame:
     counted = lambda y, bits: rows.where(F.col("y") == y).select("text").mapInArrow(_lister(bits), "key long").groupBy("key").agg(F.count("*").alias(f"c{y}"))
     toxic = saved(counted(1, None))
     both = toxic.join(counted(0, _bit_set(toxic)), "key", "left").select("key", "c1", F.coalesce("c0", F.lit(0)).alias("c0"), pair)
-    both = both.join(F.broadcast(sums), "pair")  # two rows
-    return saved(both.select("key", ratio(*map(F.col, ("c1", "c0", "n1", "n0", "t1", "t0"))).alias("ratio")).where(F.col("ratio") >= least))
+    value = F.lit(None).cast("double")
+    for x in sums.collect():  # two rows, words and pairs
+        value = F.when(F.col("pair") == x.pair, ratio(F.col("c1"), F.col("c0"), *map(F.lit, (x.n1, x.n0, x.t1, x.t0)))).otherwise(value)
+    return saved(both.select("key", value.alias("ratio")).where(F.col("ratio") >= least))
 
 
 def _strongest(text: DataFrame, table: DataFrame, bits) -> DataFrame:

@@ -6,8 +6,8 @@ documents are laid in an order by hash on a line of tokens, the whole line again
 document begins is demanded at the time t with D(t) = that token, which is its training position. What lies beyond the
 target isn't taken. Documents are range-sorted by position.
 
-Token offsets are sums over (source, hash range), then a running sum inside one range, so a source with a third of all
-rows is dealt over RANGES ranges.
+Token offsets are sums over (source, hash range), then a running sum inside one range. There are RANGES ranges a source, each
+cut into more as the table grows, so that a range of a source with all rows holds about RANGE_ROWS of them; the cuts keep the order.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from .storage import saved
 
-RANGES = 1024
+RANGES, RANGE_ROWS = 1024, 1 << 15
 WEIGHTS, TILTS = (3, 1, 2), (0.5, 0.0, -0.5)
 SHARE_PERCENT, MAX_PASSES = 150, 2
 
@@ -44,6 +44,11 @@ def position(token: Column, target: Column, tilt: Column) -> Column:
     return 2 * x / ((1 - tilt) + F.sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * x))
 
 
+def range_cuts(rows: int) -> int:
+    """How often a range is halved for a table of so many rows; 0 for small ones. Ten halvings (3e10 rows) are the most, then pieces grow."""
+    return min(10, ((max(1, rows) - 1) // (RANGES * RANGE_ROWS)).bit_length())
+
+
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, tilts: tuple = TILTS, share: int = SHARE_PERCENT, passes: int = MAX_PASSES) -> DataFrame:
     """docs with one more column `mix`: struct of size, source_size, target, taken, first_position, second_position (array of one position a pass in `positions`).
 
@@ -58,7 +63,9 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, tilts: tuple = TILTS, share
     size = F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
     order = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), text))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("doc"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("source"), size.alias("size"), order.alias("o"))
-    rows = rows.withColumn("range", F.conv(F.substring("o", 1, 5), 16, 10).cast("int") % RANGES)
+    cuts = range_cuts(docs.count())
+    head = F.conv(F.substring("o", 1, 10), 16, 10).cast("long")  # 40 bits; the last 10 of the first 20 are the range, the first ones its piece
+    rows = rows.withColumn("range", F.shiftleft(F.shiftright(head, 20) % RANGES, cuts).bitwiseOR(F.shiftright(head, 40 - cuts)))
     per = saved(rows.groupBy("source", "range").agg(F.sum("size").alias("words")))
     sizes = {r.source: r.n for r in per.groupBy("source").agg(F.sum("words").alias("n")).collect()}
     names = sorted(sizes, key=lambda s: (s == "", s))  # "" is the null source, others begin with "="

@@ -17,8 +17,8 @@ from pyspark.sql.window import Window
 from .storage import saved, text_size
 
 SHARDS, UNITS = 24, 8192
-#: Rows of a shard are numbered in this many ranges of their hash.
-RANGES = 512
+#: Rows of a shard are numbered in this many ranges of their hash, or more: about RANGE_ROWS rows in each if one shard had all.
+RANGES, RANGE_ROWS = 512, 1 << 15
 
 
 def differencing(sizes: list[int], k: int) -> list[int]:
@@ -67,9 +67,9 @@ def shards(docs: DataFrame, n: int = SHARDS, units: int = UNITS) -> DataFrame:
     own = [c for c in docs.columns if c not in added]
     text = F.col("text").cast("string")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("doc"), (text_size() + 8).alias("size"), F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")).alias("text_crc32"), F.coalesce(F.unhex(F.md5(text)), F.lit(b"null")).alias("g"), F.xxhash64(text).alias("u"))
-    groups = rows.groupBy("g").agg(F.sum("size").alias("bytes"), F.first("u").alias("u"))
-    groups = saved(groups.select("g", "bytes", F.pmod("u", F.lit(units)).cast("int").alias("unit")))
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
+    groups = rows.groupBy("g").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), F.first("u").alias("u"))
+    groups = saved(groups.select("g", "bytes", "rows", F.pmod("u", F.lit(units)).cast("int").alias("unit")))
+    total, count = (x or 0 for x in groups.agg(F.sum("bytes"), F.sum("rows")).first())
     large = F.col("bytes") * units > total
     heavy = [(bytes(r.g), r.bytes) for r in groups.where(large).select("g", "bytes").orderBy("g").collect()]
     light = [(r.unit, r.bytes) for r in groups.where(~large).groupBy("unit").agg(F.sum("bytes").alias("bytes")).orderBy("unit").collect()]
@@ -78,16 +78,16 @@ def shards(docs: DataFrame, n: int = SHARDS, units: int = UNITS) -> DataFrame:
     by_unit = spark.createDataFrame([(u, p) for (u, _), p in zip(light, part[len(heavy) :], strict=True)], "unit int, light int")
     out = rows.withColumn("unit", F.pmod("u", F.lit(units)).cast("int")).join(F.broadcast(by_group), "g", "left").join(F.broadcast(by_unit), "unit", "left")
     out = out.select("doc", "size", "text_crc32", F.coalesce("heavy", "light").alias("shard"), F.col("doc.doc_id").cast("string").alias("id"), "g")
-    return _numbered(out, n).select(*[F.col(f"doc.`{c}`").alias(c) for c in own], "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return _numbered(out, max(RANGES, -(-count // RANGE_ROWS))).select(*[F.col(f"doc.`{c}`").alias(c) for c in own], "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def _numbered(rows: DataFrame, n: int) -> DataFrame:
-    """slot: counts are taken per shard and hash range (n * RANGES rows at most), summed, and rows numbered within a range."""
-    spot = F.pmod(F.xxhash64("id", "g", F.lit(7)), F.lit(RANGES)).cast("int")
+def _numbered(rows: DataFrame, ranges: int) -> DataFrame:
+    """slot: counts are taken per shard and hash range, summed, and rows numbered within a range. The counts join rows that are laid out by range already."""
+    spot = F.pmod(F.xxhash64("id", "g", F.lit(7)), F.lit(ranges)).cast("int")
     rows = rows.withColumn("range", spot)
     per = rows.groupBy("shard", "range").count().withColumn("before", F.sum("count").over(Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)))
     per = per.select("shard", "range", F.coalesce("before", F.lit(0)).alias("before"))
     here = F.row_number().over(Window.partitionBy("shard", "range").orderBy("id", "g"))
-    return rows.withColumn("here", here).join(F.broadcast(per), ["shard", "range"]).withColumn("slot", (F.col("before") + F.col("here") - 1).cast("long"))
+    return rows.withColumn("here", here).join(per, ["shard", "range"]).withColumn("slot", (F.col("before") + F.col("here") - 1).cast("long"))
 
 

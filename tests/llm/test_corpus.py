@@ -287,6 +287,23 @@ def test_shards(spark, sf_dir):
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in p.groupby("shard"))
 
 
+def test_ranges_follow_the_size(spark, sf_dir, monkeypatch):
+    docs = queries.documents(spark, sf_dir)
+    whole = sorted(mixing.mixture(docs).toPandas().astype(str).itertuples(index=False))
+    monkeypatch.setattr(mixing, "RANGES", 4)  # the order within a table depends on RANGES, not on RANGE_ROWS
+    few = sorted(mixing.mixture(docs).toPandas().astype(str).itertuples(index=False))
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 3)
+    assert mixing.range_cuts(docs.count()) >= 3 and few != whole
+    assert few == sorted(mixing.mixture(docs).toPandas().astype(str).itertuples(index=False))
+    monkeypatch.setattr(shards, "RANGE_ROWS", 1)
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in shards.shards(docs).toPandas().groupby("shard"))
+
+
+def test_range_cuts():
+    most = mixing.RANGES * mixing.RANGE_ROWS
+    assert [mixing.range_cuts(n) for n in (0, 1, most, most + 1, 4 * most, 1 << 60)] == [0, 0, 0, 1, 2, 10]
+
+
 # 5, 9
 def auc(y, s):
     rank = s.rank()

@@ -125,3 +125,13 @@ def attachment_score(malicious: Column, entropy: Column, mismatch: Column, dange
 def prior_adjusted(p: Column, train_prior: float, new_prior: float) -> Column:
     a, b = p * new_prior / train_prior, (1 - p) * (1 - new_prior) / (1 - train_prior)
     return a / (a + b)
+
+
+def spam_suppressed(score: Column, spam: Column, alpha: float = 1.0) -> Column:
+    """A risk less its share of spam probability; none known takes nothing."""
+    return score * (1 - alpha * F.coalesce(spam, F.lit(0.0)))
+
+
+def class_gated(score: Column, label: Column, k: float = 0.3) -> Column:
+    """A risk cut to k of itself for what the text model calls spam."""
+    return score * F.when(label == "spam", k).otherwise(1.0)

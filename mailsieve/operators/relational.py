@@ -115,6 +115,25 @@ def refuse_locked(rows: DataFrame, changes: DataFrame, used: DataFrame, key: str
     return changed.join(asked, F.col(key) == F.col("_a"), "left").withColumn("refused", F.col("_locked") & F.col("_a").isNotNull()).drop("_a", "_locked")
 
 
+def looked_up(rows: DataFrame, key: str, cache: DataFrame, answers: DataFrame, votes: str, at: str, now: Column, hours: int = 24) -> DataFrame:
+    """rows with `malicious` (more than 0 votes) and `origin`: cached, if the latest cached answer is younger than `hours`, else asked, else skipped, which is not malicious.
+
+    cache has key, votes and the time of the answer; answers has key and votes, a key at most once.
+    """
+    fresh = cache.where(F.col(at) > now - F.expr(f"INTERVAL {int(hours)} HOURS")).groupBy(key).agg(F.max_by(F.struct(votes), at).alias("_kept"))
+    out = rows.join(fresh, key, "left").join(answers.select(key, F.struct(votes).alias("_said")), key, "left")
+    count = F.coalesce(F.col("_kept"), F.col("_said"))[votes]
+    origin = F.when(F.col("_kept").isNotNull(), "cached").when(F.col("_said").isNotNull(), "asked").otherwise("skipped")
+    return out.withColumn("malicious", F.coalesce(count > 0, F.lit(False))).withColumn("origin", origin).drop("_kept", "_said")
+
+
+def referenced(rows: DataFrame, col: str, values: DataFrame) -> DataFrame:
+    """rows with `col` in lower case and `refused`: it isn't among the values (one column). Nulls pass."""
+    known = values.select(F.lower(values.columns[0]).alias("_known")).distinct()
+    out = rows.withColumn(col, F.lower(col)).join(known, F.col(col) == F.col("_known"), "left")
+    return out.withColumn("refused", F.col(col).isNotNull() & F.col("_known").isNull()).drop("_known")
+
+
 def validated(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """df with `violations`: names of the checks that a row doesn't pass; a null check passes, as in SQL."""
     return df.withColumn("violations", F.filter(F.array(*[F.when(~F.coalesce(c, F.lit(True)), F.lit(k)) for k, c in checks.items()]), lambda x: x.isNotNull()))

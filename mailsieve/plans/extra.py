@@ -110,7 +110,6 @@ def x16(spark: SparkSession, d: str) -> DataFrame:
     return r.campaign_upsert(spark.sql(with_ctes(STATE)), e, "id", "v", ["fetched_at", "internal_id"]).select("id", F.col("email_count").alias("n"), F.col("risk_score").alias("mean"))
 
 
-sql("X05_timed_out", "SELECT user_id, date_trunc('day', ts) AS day, count(DISTINCT event_type) AS got FROM events GROUP BY user_id, date_trunc('day', ts) HAVING count(DISTINCT event_type) < 5 AND bool_or(event_type = 'signup')")
 @on("X18_replay", "SELECT id, score, 1 AS copies FROM verdicts WHERE entity_type = 'view'")
 def x18(spark: SparkSession, d: str) -> DataFrame:
     """The same batch delivered twice through the append-only log; ids stored before aren't stored again."""

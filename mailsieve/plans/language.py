@@ -77,14 +77,6 @@ def s16(spark: SparkSession, d: str) -> DataFrame:
     return body.select(F.get_json_object("value", "$.event_id").cast("long").alias("event_id"), F.get_json_object("value", "$.event_type").alias("event_type"))
 
 
-@on("X06_one_emission", "SELECT user_id, event_type, count(DISTINCT user_id) AS n FROM events GROUP BY user_id, event_type")
-def x06(spark: SparkSession, d: str) -> DataFrame:
-    """A batch delivered twice leaves one row a key."""
-    e = table(spark, d, "events").select("user_id", "event_type")
-    once = r.insert_missing(e.distinct(), e, ["user_id", "event_type"])
-    return once.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-
-
 LATE = "SELECT event_id, user_id, ts, event_type, min(CASE WHEN event_type = 'signup' THEN ts END) OVER (PARTITION BY user_id) AS closed FROM events"
 on("X07_late_drop", f"SELECT user_id, count(*) FILTER (WHERE ts > closed) AS late, count(*) FILTER (WHERE closed IS NULL OR ts <= closed) AS in_time FROM ({LATE}) t GROUP BY user_id")(
     lambda spark, d: table(spark, d, "events").withColumn("closed", F.min(F.when(F.col("event_type") == "signup", F.col("ts"))).over(Window.partitionBy("user_id"))).groupBy("user_id").agg(F.count_if(F.col("ts") > F.col("closed")).alias("late"), F.count_if(F.col("closed").isNull() | (F.col("ts") <= F.col("closed"))).alias("in_time"))

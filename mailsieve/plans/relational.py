@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import relational as r
-from ..registry import query
+from ..registry import ORACLES, QUERIES, query
 from ..session import table as frame_table
 from ..session import shared_folder, views
+from ..sources.sinks import refreshed
 from .projection import CTES, with_ctes
 
 
@@ -192,7 +193,18 @@ sql("A04_rule_performance", """SELECT x.id, x.name, x.version, x.status, count(h
 sql("A05_ingestion_summary", """SELECT org_id, count(*) AS total, count(*) FILTER (WHERE fetched_at >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL '1' DAY) AS last_1d, count(*) FILTER (WHERE fetched_at >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL '7' DAY) AS last_7d,
     round(avg(risk_score), 6) AS avg_risk, max(risk_score) AS max_risk, count(*) FILTER (WHERE risk_score >= 70) AS high, count(*) FILTER (WHERE risk_score BETWEEN 40 AND 69) AS medium, count(*) FILTER (WHERE risk_score < 40) AS low,
     count(*) FILTER (WHERE label = 'phishing') AS phishing, count(*) FILTER (WHERE label IS NULL) AS unclassified FROM emails WHERE NOT is_deleted GROUP BY org_id""")
-sql("A06_refresh_all", "SELECT 'threats' AS view, count(*) AS n FROM threats WHERE NOT is_deleted UNION ALL SELECT 'campaigns' AS view, count(*) AS n FROM campaigns UNION ALL SELECT 'emails' AS view, count(*) AS n FROM emails WHERE NOT is_deleted")
+SUMMARIES = {"threat_summary": "A01_threat_summary", "campaign_summary": "A02_campaign_summary", "feed_health": "A03_feed_health", "rule_performance": "A04_rule_performance", "ingestion_summary": "A05_ingestion_summary"}
+
+
+@query("A06_refresh_all", " UNION ALL ".join(f"SELECT '{k}' AS summary, count(*) AS n FROM ({ORACLES[v]}) t" for k, v in SUMMARIES.items()))
+def a06(spark: SparkSession, d: str) -> DataFrame:
+    """All summary tables written over what a first refresh left, and counted as read again."""
+    folder = shared_folder(spark, "summaries")
+    for _ in range(2):
+        refreshed({k: QUERIES[v](spark, d) for k, v in SUMMARIES.items()}, folder)
+    return reduce(DataFrame.union, [spark.read.parquet(f"{folder}/{k}").agg(F.lit(k).alias("summary"), F.count("*").alias("n")) for k in SUMMARIES])
+
+
 
 
 @on("A07_running_mean", """WITH RECURSIVE o AS (SELECT campaign_id, risk_score, row_number() OVER (PARTITION BY campaign_id ORDER BY fetched_at, internal_id) AS n FROM emails),
@@ -480,7 +492,12 @@ def u19(spark, d):
     return e.join(last, e["campaign_id"] == last["entity_id"], "left").select("internal_id", "latest")
 
 
-sql("U20_type_normalised", "SELECT DISTINCT lower(p_type) AS t FROM part WHERE lower(p_type) NOT IN (SELECT lower(r_name) FROM region)")
+@on("U20_type_normalised", "SELECT p_partkey, lower(p_type) AS kind, lower(p_type) NOT IN (SELECT lower(p_type) FROM part WHERE p_size = 1) AS refused FROM part")
+def u20(spark, d):
+    part = frame_table(spark, d, "part").select("p_partkey", F.col("p_type").alias("kind"), "p_size")
+    return r.referenced(part.drop("p_size"), "kind", part.where("p_size = 1").select("kind"))
+
+
 sql("U21_sent_at", "SELECT event_id, TIMESTAMP '1970-01-01 00:00:00' + INTERVAL '1' DAY * (event_id % 20000) AS sent_at FROM events")
 RENAMED = "SELECT id, concat(name, ' v2') AS name FROM rules WHERE id % 2 = 0"
 

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scores, urls
 from ..operators import evaluation as ev
-from ..operators import metrics, rules, similarity
+from ..operators import metrics, relational, rules, similarity
 from ..registry import query
 from ..session import shared_folder, table
 from .relational import frame, on, sql
@@ -241,8 +241,24 @@ def _family(spark: SparkSession, d: str) -> DataFrame:
 
 MODES = {"average": AVG, "noisy_or": NOR, "max": "CAST(COALESCE(greatest(url_score, header_score, nlp_score, attachment_score), 0) AS DOUBLE)"}
 on("M18_fusion_bakeoff", f"SELECT {', '.join(f'round(avg({x}), 6) AS {k}' for k, x in MODES.items())} FROM scored")(lambda spark, d: frame(spark, d, "scored").agg(F.round(F.avg(scores.weighted_average(channels())), 6).alias("average"), F.round(F.avg(scores.noisy_or(channels())), 6).alias("noisy_or"), F.round(F.avg(F.coalesce(F.greatest(*CH.values()), F.lit(0)).cast("double")), 6).alias("max")))
-sql("M19_spam_gate", "SELECT doc_id, CASE WHEN quality = 0 AND score < 76 THEN least(score, 50) ELSE score END AS gated FROM judged")
-sql("M20_vote_lookup", "SELECT p.page_id, COALESCE(t.risk_score, 0) > 50 AS malicious FROM pages p LEFT JOIN threats t ON t.id = p.page_id AND NOT t.is_deleted")
+@on("M19_spam_gate", "SELECT doc_id, round(score * (1 - 5e-1 * COALESCE(CASE WHEN quality = 0 THEN (score % 10) / 1e1 END, 0)), 6) AS suppressed, round(score * CASE WHEN quality = 0 THEN 3e-1 ELSE 1e0 END, 6) AS gated FROM judged")
+def m19(spark: SparkSession, d: str) -> DataFrame:
+    rows, spam = frame(spark, d, "judged"), F.col("quality") == 0
+    suppressed = scores.spam_suppressed(F.col("score"), F.when(spam, F.col("score") % 10 / 10), 0.5)
+    return rows.select("doc_id", F.round(suppressed, 6).alias("suppressed"), F.round(scores.class_gated(F.col("score"), F.when(spam, "spam")), 6).alias("gated"))
+
+
+@on("M20_vote_lookup", """WITH c AS (SELECT user_id AS id, max(ts) AS at, arg_max(event_id % 3, ts) AS votes FROM events WHERE ts > TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 240 HOUR GROUP BY user_id)
+    SELECT p.page_id, COALESCE(c.votes, t.risk_score - 50, 0) > 0 AS malicious, CASE WHEN c.id IS NOT NULL THEN 'cached' WHEN t.id IS NOT NULL THEN 'asked' ELSE 'skipped' END AS origin
+    FROM pages p LEFT JOIN c ON c.id = p.page_id LEFT JOIN threats t ON t.id = p.page_id AND NOT t.is_deleted""")
+def m20(spark: SparkSession, d: str) -> DataFrame:
+    """Events stand for cached answers by time, threats for the service's answers; the cache holds for ten days here."""
+    pages = table(spark, d, "pages").select("page_id")
+    cache = table(spark, d, "events").select(F.col("user_id").alias("page_id"), (F.col("event_id") % 3).alias("votes"), "ts")
+    answers = frame(spark, d, "threats").where("NOT is_deleted").select(F.col("id").alias("page_id"), (F.col("risk_score") - 50).alias("votes"))
+    return relational.looked_up(pages, "page_id", cache, answers, "votes", "ts", F.lit("2024-01-30 00:00:00").cast("timestamp_ntz"), 240)
+
+
 on("M24_fold_auc", f"SELECT fold, round((sum(CASE WHEN positive THEN r ELSE 0 END) - np * (np + 1) / 2e0) / NULLIF(np * CAST(n - np AS DOUBLE), 0), 6) AS auc FROM (SELECT *, rank() OVER (PARTITION BY fold ORDER BY score) + (count(*) OVER (PARTITION BY fold, score) - 1) / 2e0 AS r, count(*) FILTER (WHERE positive) OVER (PARTITION BY fold) AS np, count(*) OVER (PARTITION BY fold) AS n FROM (SELECT *, doc_id % 5 AS fold FROM judged)) GROUP BY fold, np, n")(lambda spark, d: _fold_auc(spark, d))
 
 

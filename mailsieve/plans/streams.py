@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..session import shared_folder, table
-from ..sources import feeds, kafka, mime
+from ..sources import feeds, kafka, mime, sinks
 from ..streaming import stateful
 
 
@@ -79,6 +79,30 @@ def x10(spark: SparkSession, d: str) -> DataFrame:
     return packaged_batch(_messages(table(spark, d, "events"), "ts", "event_id"), "ts", "event_id")
 
 
+CLOSED = f"""WITH m AS (SELECT user_id % 5 AS org_id, user_id || '-' || strftime(ts, '%Y%m%d') AS email_id, ts, {COMPONENT} AS component FROM events),
+    o AS (SELECT org_id, email_id, min(ts) + INTERVAL 6 HOUR AS finish FROM m GROUP BY ALL),
+    f AS (SELECT m.org_id, m.email_id, o.finish, {', '.join(f"min(ts) FILTER (WHERE component = '{c}' AND ts <= finish) AS {c}" for c in ('plan', 'url', 'header'))} FROM m JOIN o ON m.org_id = o.org_id AND m.email_id = o.email_id GROUP BY ALL),
+    c AS (SELECT org_id, email_id, CASE WHEN plan IS NULL THEN [] ELSE list_filter([CASE WHEN header IS NULL THEN 'header' END, CASE WHEN url IS NULL THEN 'url' END], lambda x: x IS NOT NULL) END AS missing,
+        CASE WHEN plan IS NULL THEN 'dropped' WHEN url IS NULL OR header IS NULL THEN 'partial' ELSE 'complete' END AS status, CASE WHEN plan IS NULL OR url IS NULL OR header IS NULL THEN finish ELSE greatest(plan, url, header) END AS closed FROM f)"""
+
+
+def _closed(spark: SparkSession, d: str) -> DataFrame:
+    return stateful.closed_buckets(_messages(table(spark, d, "events"), "ts"), "ts", 6 * 3600)
+
+
+query("X05_timed_out", f"{CLOSED} SELECT c.org_id, c.email_id, c.status, c.missing, count(*) FILTER (WHERE m.ts > c.closed) AS late FROM c JOIN m ON m.org_id = c.org_id AND m.email_id = c.email_id GROUP BY ALL")(_closed)
+
+
+@query("X06_one_emission", f"{CLOSED} SELECT org_id, email_id, status, 1 AS copies FROM c WHERE status <> 'dropped'")
+def x06(spark: SparkSession, d: str) -> DataFrame:
+    """Emails that were complete or late, sent out twice as after a restart; the idempotent sink keeps one of each."""
+    folder = f"{shared_folder(spark, 'emitted')}/scored"
+    out = _closed(spark, d).where("status <> 'dropped'").select("org_id", "email_id", "status")
+    for delivery in range(2):
+        sinks.append_unseen(folder, ["org_id", "email_id"])(out, delivery)
+    return spark.read.parquet(folder).groupBy("org_id", "email_id", "status").agg(F.count("*").cast("int").alias("copies"))
+
+
 def _file(spark: SparkSession, name: str, text: str) -> str:
     folder = shared_folder(spark, name)
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(folder)

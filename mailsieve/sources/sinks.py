@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+import urllib.error
 import urllib.request
 from collections.abc import Callable
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 
 def post(url: str, body: dict, tries: int = 3, wait: float = 1.0, send: Callable | None = None) -> bool:
-    """One alert with retries and doubled waits."""
+    """One alert with retries and doubled waits; a refusal of the request itself (4xx) is final."""
 
     def default(u, data):
         with urllib.request.urlopen(urllib.request.Request(u, data, {"Content-Type": "application/json"}), timeout=10) as r:  # noqa: S310
@@ -22,21 +23,25 @@ def post(url: str, body: dict, tries: int = 3, wait: float = 1.0, send: Callable
         try:
             if (send or default)(url, json.dumps(body).encode()):
                 return True
+        except urllib.error.HTTPError as e:
+            if 400 <= e.code < 500:
+                return False
         except OSError:
             pass
-        time.sleep(wait * 2**k)
+        if k + 1 < tries:
+            time.sleep(wait * 2**k)
     return False
 
 
 def webhook_batch(url: str, send: Callable | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that posts each row from the executors."""
+    """A foreachBatch function that posts each row from the executors, without `recipients`, which are for mail alone."""
 
     def run(batch: DataFrame, _: int) -> None:
         def each(rows) -> None:
             for r in rows:
                 post(url, json.loads(r.value), send=send)
 
-        batch.select(F.to_json(F.struct("*")).alias("value")).foreachPartition(each)
+        batch.drop("recipients").select(F.to_json(F.struct("*")).alias("value")).foreachPartition(each)
 
     return run
 
@@ -57,6 +62,12 @@ def append_unseen(path: str, keys: list[str]) -> Callable[[DataFrame, int], None
     return run
 
 
+def refreshed(summaries: dict[str, DataFrame], folder: str) -> None:
+    """Each summary computed anew and written over its table."""
+    for name, df in summaries.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
 def quarantined(batch: DataFrame, good: str, bad: str, poison: str = "poison") -> None:
     """Readable rows to one table, the rest to another."""
     batch.where(F.col(poison).isNull()).drop(poison).write.mode("append").parquet(good)

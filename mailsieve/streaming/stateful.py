@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 CLAIM_DAYS = 7
 TIMEOUT_SECONDS, KEEP_SECONDS = 30, 120
@@ -138,6 +139,25 @@ def aggregated(stream: DataFrame, timeout: int = TIMEOUT_SECONDS, keep: int = KE
     return rows.groupBy("org_id", "email_id").applyInPandasWithState(run, AGGREGATED, "bucket string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def closed_buckets(messages: DataFrame, at: str, timeout: int = TIMEOUT_SECONDS, keys: tuple = ("org_id", "email_id"), components: tuple = ("url", "header", "nlp", "attachment")) -> DataFrame:
+    """(keys, status, missing, late): what became of the bucket that an email's first message opened, from recorded messages.
+
+    complete: the plan and its scores came in the time-out; partial: the plan came, the scores in `missing` didn't; dropped: no
+    plan came in time. late counts the messages after a bucket was complete or out of time; those of a dropped one too, though
+    the stream would open another bucket for them. One shuffle by keys; nothing is collected per email.
+    """
+    w = Window.partitionBy(*keys)
+    m = messages.withColumn("opened", F.min(at).over(w)).withColumn("end", F.col("opened") + F.expr(f"INTERVAL {int(timeout)} SECONDS"))
+    came = lambda c: F.min(F.when((F.col("component") == c) & (F.col(at) <= F.col("end")), F.col(at))).over(w).alias(f"{c}_at")
+    plan = F.min_by("payload", F.when((F.col("component") == "plan") & (F.col(at) <= F.col("end")), F.col(at))).over(w)
+    m = m.select(*keys, at, "end", came("plan"), *map(came, components), F.coalesce(F.from_json(plan, "array<string>"), F.array().cast("array<string>")).alias("expected"))
+    here = F.filter(F.array(*[F.when(F.col(f"{c}_at").isNotNull(), F.lit(c)) for c in components]), lambda c: c.isNotNull())
+    m = m.withColumn("missing", F.array_sort(F.array_except("expected", here)))
+    m = m.withColumn("status", F.when(F.col("plan_at").isNull(), "dropped").when(F.size("missing") > 0, "partial").otherwise("complete"))
+    whole = F.greatest(F.col("plan_at"), *[F.when(F.array_contains("expected", c), F.col(f"{c}_at")) for c in components])
+    return m.groupBy(*keys, "status", "missing").agg(F.count_if(F.col(at) > F.when(F.col("status") == "complete", whole).otherwise(F.col("end"))).alias("late"))
+
+
 def fanned_out(batch: DataFrame, targets: dict[str, DataFrame], folder: str) -> None:
     """One batch written to several tables, read once."""
     batch.persist()

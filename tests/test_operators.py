@@ -108,6 +108,52 @@ def test_webhook_retries():
     assert sinks.post("http://x", {"a": 1}, wait=0, send=send) and len(calls) == 3
 
 
+def test_webhook_batch_posts_each_row(spark):
+    """Over a local server: rows without recipients; a 5xx is tried again, a 4xx isn't."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    got = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            got.append(body)
+            self.send_response(500 if body["id"] == 1 and got.count(body) == 1 else 404 if body["id"] == 2 else 200)
+            self.end_headers()
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        rows = spark.createDataFrame([(i, ["a@b.c"]) for i in (1, 2, 3)], "id long, recipients array<string>")
+        sinks.webhook_batch(f"http://127.0.0.1:{server.server_port}")(rows, 0)
+    finally:
+        server.shutdown()
+    assert sorted(b["id"] for b in got) == [1, 1, 2, 3] and all(set(b) == {"id"} for b in got)
+
+
+def test_closed_buckets(spark):
+    plan = '["url", "header"]'
+    rows = [(1, "whole", 0, "plan", plan), (1, "whole", 9, "url", None), (1, "whole", 20, "header", None), (1, "whole", 21, "url", None), (1, "late", 0, "url", None), (1, "late", 30, "plan", plan), (1, "late", 31, "header", None), (2, "whole", 0, "header", None), (2, "whole", 40, "plan", plan), (2, "none", 5, "plan", None)]
+    m = spark.createDataFrame(rows, "org_id long, email_id string, s long, component string, payload string").withColumn("at", F.timestamp_seconds("s"))
+    got = {(r.org_id, r.email_id): (r.status, r.missing, r.late) for r in stateful.closed_buckets(m, "at").collect()}
+    assert got == {(1, "whole"): ("complete", [], 1), (1, "late"): ("partial", ["header"], 1), (2, "whole"): ("dropped", [], 1), (2, "none"): ("complete", [], 0)}
+
+
+def test_looked_up_and_referenced(spark):
+    keys = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "k string")
+    cache = spark.sql("SELECT * FROM VALUES ('a', 0, TIMESTAMP '2024-01-01 12:00:00'), ('a', 3, TIMESTAMP '2024-01-01 10:00:00'), ('b', 5, TIMESTAMP '2023-12-01 00:00:00') t(k, v, at)")
+    answers = spark.createDataFrame([("a", 9), ("b", 0)], "k string, v int")
+    got = r.looked_up(keys, "k", cache, answers, "v", "at", F.lit("2024-01-02 00:00:00").cast("timestamp"))
+    assert {tuple(x) for x in got.collect()} == {("a", False, "cached"), ("b", False, "asked"), ("c", False, "skipped"), (None, False, "skipped")}
+    kinds = spark.createDataFrame([("Phish",), ("odd",), (None,)], "kind string")
+    got = r.referenced(kinds, "kind", spark.createDataFrame([("PHISH",), ("phish",)], "value string"))
+    assert {tuple(x) for x in got.collect()} == {("phish", False), ("odd", True), (None, False)}
+
+
 def test_containment_join_equals_nested_loop(spark):
     points = spark.range(0, 300000, 997).select(F.col("id").alias("ip"))
     ranges = spark.createDataFrame([(0, 10), (65530, 131080), (200000, 200000), (250000, 299999)], "low long, high long")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import attachments as at
 from ..functions import distance, mail, text, urls
+from ..operators.domains import apex_by_suffix, suffix_rules
 from ..registry import query
 from ..session import table
 
@@ -59,6 +60,14 @@ pages("F03_normalize_domain", f"{H} AS domain", domain=lambda: urls.normalize_do
 pages("F04_is_url", f"page_id % 5 NOT IN (1, 3) AS ok", ok=lambda: urls.is_url(messy()))
 pages("F05_tld_label", f"string_split({H}, '.')[-1] AS tld", tld=lambda: urls.tld_label(urls.host(F.col(U))))
 pages("F06_apex", f"{REG.format(h=H)} AS apex", apex=lambda: urls.registrable_domain(urls.host(F.col(U))))
+@query("F06b_apex_by_suffix", f"SELECT page_id, CASE WHEN regexp_matches(h, '(^|\\.)example\\.com$') THEN array_to_string(list_slice(string_split(h, '.'), -3, -1), '.') ELSE array_to_string(list_slice(string_split(h, '.'), -2, -1), '.') END AS apex FROM (SELECT page_id, {H} AS h FROM pages) t")
+def f06b(spark: SparkSession, d: str) -> DataFrame:
+    """As with a list that names example.com as a suffix of its own; domains.read_rules reads a whole one."""
+    rules = suffix_rules(spark.createDataFrame([("com",), ("example.com",)], "value string"))
+    hosts = table(spark, d, "pages").select("page_id", urls.host(F.col("url")).alias("h"))
+    return apex_by_suffix(hosts, "h", rules).select("page_id", "apex")
+
+
 pages("F07_split_tld", f"string_split({H}, '.')[-2] AS domain, array_to_string(list_slice(string_split({H}, '.'), 1, -3), '.') AS subdomain, string_split({H}, '.')[-1] AS tld", domain=lambda: urls.split_tld(urls.host(F.col(U)))["domain"], subdomain=lambda: urls.split_tld(urls.host(F.col(U)))["subdomain"], tld=lambda: urls.split_tld(urls.host(F.col(U)))["tld"])
 pages("F08_registrable_label", f"string_split({H}, '.')[-2] AS label", label=lambda: urls.registrable_label(urls.host(F.col(U))))
 BR = urls.BRAND_SUBSTRINGS

@@ -8,6 +8,7 @@ import itertools
 from pyspark.sql import functions as F
 
 from mailsieve.functions import distance, scores, text, urls
+from mailsieve.operators import domains
 from mailsieve.operators import relational as r
 from mailsieve.operators import similarity
 from mailsieve.operators import rules
@@ -154,6 +155,18 @@ def test_looked_up_and_referenced(spark):
     assert {tuple(x) for x in got.collect()} == {("phish", False), ("odd", True), (None, False)}
 
 
+RULES = ["// list", "", "com", "uk", "co.uk  note", "*.ck", "!www.ck", "jp", "*.kawasaki.jp", "!city.kawasaki.jp"]
+APEXES = {"a.b.example.com": "example.com", "Shop.Example.CO.UK": "example.co.uk", "x.uk": "x.uk", "co.uk": "co.uk", "a.b.www.ck": "www.ck", "a.b.c.ck": "b.c.ck", "c.ck": "c.ck", "x.city.kawasaki.jp": "city.kawasaki.jp", "x.y.z.kawasaki.jp": "y.z.kawasaki.jp", "no.rule.here": "rule.here", "localhost": "localhost", "10.1.2.3": "10.1.2.3", None: None}
+
+
+def test_apex_by_suffix(spark):
+    rules = domains.suffix_rules(spark.createDataFrame([(x,) for x in RULES], "value string"))
+    rows = spark.createDataFrame([(h, 7) for h in [*APEXES, "x.uk"]], "host string, suffix int")
+    got = domains.apex_by_suffix(rows, "host", rules).collect()
+    assert len(got) == len(APEXES) + 1 and all(g.suffix == 7 for g in got)
+    assert {g.host: g.apex for g in got} == APEXES
+
+
 def test_containment_join_equals_nested_loop(spark):
     points = spark.range(0, 300000, 997).select(F.col("id").alias("ip"))
     ranges = spark.createDataFrame([(0, 10), (65530, 131080), (200000, 200000), (250000, 299999)], "low long, high long")

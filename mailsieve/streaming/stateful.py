@@ -6,10 +6,14 @@ state store, keyed, with time-outs where the state must go.
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import json
+import tempfile
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +22,10 @@ from pyspark.sql.window import Window
 
 CLAIM_DAYS = 7
 TIMEOUT_SECONDS, KEEP_SECONDS = 30, 120
+#: Rows of one group that are sorted in memory; runs of so many are merged from disk where there are more.
+RUN_ROWS, PIECE_ROWS = 1 << 20, 1 << 14
+#: Stands for a null key while rows are sorted, after all others.
+NO_KEY = np.iinfo(np.int64).max
 
 
 def claimed(stream: DataFrame, keys: list[str], at: str, days: int = CLAIM_DAYS) -> DataFrame:
@@ -59,16 +67,52 @@ def limit_fold(last: float | None, times: list[float], seconds: float) -> tuple[
     return last, out
 
 
+def in_order(batches: Iterator[pd.DataFrame], at: str, key: str, run_rows: int = RUN_ROWS) -> Iterator[np.ndarray]:
+    """All of a group's rows as arrays of (microseconds, key), ordered by both from the first array to the last; null times and keys come last.
+
+    Spark hands a group over in Arrow batches that are cut anywhere and come in no order, so order within each isn't enough.
+    Up to run_rows rows are sorted in memory; more are written to a nameless temporary file in sorted runs and merged.
+    """
+    have, n, sizes = [], 0, []
+    with tempfile.TemporaryFile() as file:
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                t = b[at].astype("datetime64[us]")
+                have.append(np.stack([t.astype("int64").where(t.notna(), NO_KEY).to_numpy(), b[key].astype("Int64").to_numpy("int64", na_value=NO_KEY)], axis=1))
+                n += len(b)
+            if n and (n >= run_rows or b is None):
+                rows = np.concatenate(have)
+                rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+                have, n = [], 0
+                if b is None and not sizes:
+                    yield rows
+                    return
+                file.write(rows.tobytes())
+                sizes.append(len(rows))
+        if not sizes:
+            return
+        file.flush()
+        whole = np.memmap(file, dtype=np.int64, mode="r").reshape(-1, 2)
+        ends = np.cumsum(sizes).tolist()
+        read = lambda i, j: itertools.chain.from_iterable(whole[k : min(k + PIECE_ROWS, j)].tolist() for k in range(i, j, PIECE_ROWS))
+        merged = heapq.merge(*map(read, [0, *ends[:-1]], ends))
+        while piece := list(itertools.islice(merged, PIECE_ROWS)):
+            yield np.array(piece, dtype=np.int64)
+
+
 def rate_limited(stream: DataFrame, keys: list[str], at: str, key: str, seconds: int = 3600) -> DataFrame:
-    """(keys, key, allowed): the first row of a key opens a period in which no other is allowed."""
+    """(keys, key, allowed): the first row of a key opens a period in which no other is allowed; null where the time is. Rows of one micro-batch are taken in the order of `at` and `key`."""
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        for b in batches:
-            b = b.sort_values([at, key])
-            last, ok = limit_fold(last, (b[at].astype("int64") // 10**3 / 1e6 if b[at].dtype == "datetime64[ns]" else b[at].astype("datetime64[us]").astype("int64") / 1e6).tolist(), seconds)
-            yield pd.DataFrame({**dict(zip(keys, k, strict=True)), key: b[key].values, "allowed": ok})
-        state.update((last,))
+        for rows in in_order(batches, at, key):
+            gone = rows == NO_KEY
+            last, ok = limit_fold(last, np.where(gone[:, 0], np.nan, rows[:, 0] / 1e6).tolist(), seconds)
+            ids, allowed = pd.array(rows[:, 1], dtype="Int64"), pd.array(ok, dtype="boolean")
+            ids[gone[:, 1]] = pd.NA
+            allowed[gone[:, 0] & ~np.array(ok)] = pd.NA
+            yield pd.DataFrame({key: ids, "allowed": allowed}).assign(**dict(zip(keys, k, strict=True)))[[*keys, key, "allowed"]]
+        state.update((None if last is None or np.isnan(last) else last,))
 
     rows = stream.select(*[F.col(c).cast("long").alias(c) for c in [*keys, key]], F.col(at).cast("timestamp").alias(at))
     schema = ", ".join(f"{c} long" for c in [*keys, key]) + ", allowed boolean"

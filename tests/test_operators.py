@@ -2,6 +2,8 @@
 
 import json
 
+import numpy as np
+import pandas as pd
 import pytest
 import itertools
 
@@ -249,3 +251,34 @@ def test_locked_rows_and_cascades(spark):
     assert {(x.id, x.name, x.refused) for x in r.refuse_locked(rows, changes, used, "id").collect()} == {(1, "x", False), (2, "b", True), (None, "c", False)}
     left = r.cascade_delete({"names": rows, "changes": changes}, used, "id")
     assert {x.id for x in left["names"].collect()} == {1, None} and {x.id for x in left["changes"].collect()} == {1}
+
+
+def test_rate_limit_over_batches_cut_anywhere(spark, tmp_path):
+    """Each user's rows lie in several files and Arrow batches, later ones first; the SQL's fold orders them all."""
+    import __spark_entry__ as entry
+
+    rows = [(i, (i * 7919) % 997 * 700, i % 3) for i in range(300)]
+    e = spark.createDataFrame(rows, "event_id long, s long, user_id long").withColumn("ts", F.timestamp_seconds("s")).drop("s").repartition(5, "event_id")
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {tuple(r) for r in entry.queries()["X15_rate_limit_stream"](spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = set()
+    for user in range(3):
+        mine = sorted((s, i) for i, s, u in rows if u == user)
+        want |= set(zip([i for _, i in mine], stateful.limit_fold(None, [s for s, _ in mine], 3600)[1], strict=True))
+    assert got == want
+
+
+@pytest.mark.parametrize("run_rows", [4, 10, 1000])
+def test_in_order_merges_runs_from_disk(run_rows):
+    rng = np.random.default_rng(1)
+    parts = [pd.DataFrame({"at": pd.to_datetime(rng.integers(0, 9, 6), unit="s"), "k": pd.array(rng.integers(0, 99, 6), "Int64")}) for _ in range(8)]
+    parts[2].loc[1, "at"], parts[3].loc[2, "k"] = pd.NaT, pd.NA
+    got = [tuple(x) for a in stateful.in_order(iter(parts), "at", "k", run_rows) for x in a.tolist()]
+    every = pd.concat(parts)
+    want = sorted((stateful.NO_KEY if pd.isna(t) else int(t.timestamp()) * 10**6, stateful.NO_KEY if pd.isna(k) else k) for t, k in zip(every["at"], every["k"], strict=True))
+    assert got == want and list(stateful.in_order(iter([]), "at", "k")) == []

@@ -230,6 +230,23 @@ def test_leaks_of_a_full_block_of_long_items(spark):
     assert {(x.doc_id, x.item_id) for x in got} == set(enumerate([*picked, *picked]))
 
 
+def test_latent_space_takes_every_window(spark):
+    """The sketch has every window of every row, whole-number sums for any parts; with more rows than windows its second moments are theirs."""
+    r, words = random.Random(6), vocabulary(40)
+    texts = [prose(r, words, r.randint(1, 90)) for _ in range(60)] + [None, "", "elsewhere"]
+    vocab = np.unique(np.concatenate(decontam.hashed(words[:30])))
+    idf, other, want = np.linspace(0.5, 3, len(vocab)), 1.5, np.zeros((len(vocab), len(vocab)))
+    for w in decontam.hashed([t for t in texts if t]):
+        for i in range(0, len(w), 32):
+            at = decontam.lookup(vocab, w[i : i + 32])
+            norm2, a = (np.where(at >= 0, idf[at], other) ** 2).sum(), np.zeros(len(vocab))
+            np.add.at(a, at[at >= 0], idf[at[at >= 0]])
+            want += np.outer(a, a) / norm2
+    one, many = (decontam._sketch(table(spark, texts).repartition(n), vocab, idf, other, 1 << 17) for n in (1, 7))
+    assert (one == many).all()
+    assert np.abs(one.T @ one - want).max() < 0.01 * want.max()
+
+
 def test_leaks_by_brute_force(spark, leaky, monkeypatch):
     """All places whose common subsequence and answer make a leak, without rare words or a latent space; and blocks of a few items give the same."""
     docs, bench, _ = leaky

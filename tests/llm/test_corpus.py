@@ -521,6 +521,19 @@ def test_passages_by_brute_force(spark):
     assert all(len(want[d] - found[d]) <= 0.02 * len(want[d]) for d in want)
 
 
+def test_every_pair_of_texts_with_a_passage(spark):
+    """Seven different texts with one passage, changed in places: all 21 links; copies belong to the first text like them."""
+    r, words = random.Random(12), vocabulary(3000)
+    passage, texts = prose(r, words, 60).split(), []
+    for i in range(7):
+        mine = ["new" + str(i) if k == 9 * i + 3 else w for k, w in enumerate(passage)]
+        texts.append(" ".join([prose(r, words, 30 + i), *mine, prose(r, words, 30)]))
+    df = table(spark, [*texts, texts[2], texts[2], prose(r, words, 50)]).repartition(3)
+    links = lambda x: {(y.doc_id, y.ref_doc_id) for y in x.collect()}
+    want = set(itertools.combinations(range(6, -1, -1), 2)) | {(7, 2), (8, 2)}
+    assert links(chains.repeated_passages(df, every=True)) == want
+
+
 def test_passages_without_ids(spark):
     r, words = random.Random(5), vocabulary(3000)
     x, y = prose(r, words, 60), prose(r, words, 70)
